@@ -241,7 +241,7 @@ def oracle(phrases: dict[str, str] | None = None, templates: dict[str, str] | No
     """DuckDB SQL for the same rows over `documents`."""
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     base = ", ".join(
-        f"list_transform(list_filter(range(len(w)), i -> {' and '.join(f'w[i + {k + 1}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split()))}), i -> struct_pack(at := i, label := '{label}'))"
+        f"list_transform(list_filter(range(len(w)), lambda i: {' and '.join(f'w[i + {k + 1}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split()))}), lambda i: struct_pack(at := i, label := '{label}'))"
         for p, label in phrases.items()
     )
     method = ", ".join(f"case when regexp_matches(t, '{pattern(x)}') then '{k}' end" for k, x in templates.items())
@@ -251,12 +251,12 @@ def oracle(phrases: dict[str, str] | None = None, templates: dict[str, str] | No
             from documents
         ), found as (
             select doc_id, len(w) as n_words, list_concat({base}) as b,
-                   list_filter([{method}], x -> x is not null) as m
+                   list_filter([{method}], lambda x: x is not null) as m
             from (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as t from split)
         )
         select doc_id, n_words, len(b) as n_base,
-               list_min(list_transform(b, x -> x.at)) as first_word, list_max(list_transform(b, x -> x.at)) as last_word,
-               coalesce(array_to_string(list_sort(list_distinct(list_transform(b, x -> x.label))), ','), '') as base_labels,
-               coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(b, x -> x.label), m))), ','), '') as labels,
+               list_min(list_transform(b, lambda x: x.at)) as first_word, list_max(list_transform(b, lambda x: x.at)) as last_word,
+               coalesce(array_to_string(list_sort(list_distinct(list_transform(b, lambda x: x.label))), ','), '') as base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(b, lambda x: x.label), m))), ','), '') as labels,
                case when len(m) > 0 then 1.0 when len(b) > 0 then 0.5 else 0.0 end::double as score
         from found"""
