@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import inner_product, licenses, packing, resampling, sharding, simhash, syncmers, toxicity
+from loomgraph.llm import chat, inner_product, lattice, licenses, packing, resampling, sharding, simhash, syncmers, toxicity
 from loomgraph.session import read_table
 
 
@@ -21,6 +21,10 @@ def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_report(read_table(spark, sf_dir, "documents"))
 
 
+def op2_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.sample_segmentations(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffle_into_shards(read_table(spark, sf_dir, "documents"), shards=8)
     return placed.select(
@@ -28,6 +32,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _, _ = resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return found
@@ -56,7 +64,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_syncmers": op1_syncmers,
+        "op2_segmentations": op2_segmentations,
         "op3_sharding": op3_sharding,
+        "op4_chats": op4_chats,
         "op5_quality": op5_quality,
         "op6_simhash": op6_simhash,
         "op7_licenses": op7_licenses,
