@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their places in token sequences."""
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), ranks_path=tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("quality", quality), ("toxicity", civility), ("near_dedup", near_dedup), ("packing", pack)]

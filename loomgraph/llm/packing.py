@@ -11,6 +11,7 @@ within (length, salt) by a window, across salts by the counts before.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import math
 import os
@@ -42,14 +43,33 @@ class WordCachedTokenizer:
     The byte-level pre-tokenizer never joins what stands on both sides of a blank that
     follows no other blank, so such a text's ids are those of its first word and of each
     other word with its blank. Texts with two blanks in a row are encoded in one go.
+
+    Given the same vocabulary as ranks, words not met before go through `tiktoken`, which
+    merges the same pairs faster, if the two libraries cannot differ on them: no special
+    token's mark, and letters only of blocks whose classes all Unicode versions share.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.merge = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.merge = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words with a blank before them."""
+        plain = [w for w in words if self.merge and "<" not in w and (w.isascii() or max(w) < "\u0250")]
+        out = {w: np.array(self.merge(" " + w), "<u4").tobytes() for w in plain}
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, self._raw([" " + w for w in rest])))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -67,7 +87,7 @@ class WordCachedTokenizer:
         found = [list(map(get, words[1:])) for words in split]
         missing = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words[1:], ids) if x is None}
         names = sorted(missing)
-        new = dict(zip(names, self._raw([" " + w for w in names])))
+        new = self._words(names)
         for i, words, ids, head in zip(rest, split, found, heads):
             if None in ids:
                 ids = [new[w] if x is None else x for w, x in zip(words[1:], ids)]
@@ -82,10 +102,10 @@ class WordCachedTokenizer:
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordCachedTokenizer:
+def tokenizer(path: str, ranks: str | None = None) -> WordCachedTokenizer:
     """One tokenizer for each Python worker."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordCachedTokenizer(path)
+        _TOKENIZERS[path] = WordCachedTokenizer(path, ranks)
     return _TOKENIZERS[path]
 
 
@@ -94,13 +114,13 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, ranks_path: str | None = None) -> DataFrame:
     """One row (id, piece, start, length, ids_crc32[, ids]) per piece of each document."""
     ship_package(docs.sparkSession)
     fields = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path).encode
+        encode = tokenizer(tokenizer_path, ranks_path).encode
         for batch in batches:
             rows, columns = [], ([], [], [], [], [])
             for at, raw in enumerate(encode([t.as_py() or "" for t in batch.column(1)])):
@@ -266,14 +286,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...
     return numbered.mapInArrow(place(plan.runs), schema).drop("_number")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, ranks_path: str | None = None) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
     Each document is its ids and a closing id 0; null and empty texts are that id alone.
     Only documents over the capacity are cut. Repeated rows are packed each. Other
     columns are ignored; an empty table gives no rows.
     """
-    pieces = materialize(cut_pieces(docs, tokenizer_path, id_col, text_col, capacity, with_ids), "packing-pieces")
+    pieces = materialize(cut_pieces(docs, tokenizer_path, id_col, text_col, capacity, with_ids, ranks_path), "packing-pieces")
     packed = pack_pieces(pieces, capacity)
     names = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     return packed.select(F.col("id").alias(id_col), *names)
