@@ -103,13 +103,13 @@ def merge_entities(entities: DataFrame, canonical: DataFrame) -> DataFrame:
     highest confidence, provenance of the surest member that is no tag, all labels and documents.
     """
     joined = entities.join(canonical.select("label", "canonical"), "label").withColumn("new_id", slugify(F.col("canonical")))
-    sure = lambda test: F.struct(test.cast("int"), "confidence", "id")
+    sure = lambda test, value: F.struct(test.cast("int"), "confidence", "id", value)
     return joined.groupBy("new_id").agg(
-        F.max_by("entity_type", sure(F.col("entity_type") != "concept")).alias("entity_type"),
+        F.max_by("entity_type", sure(F.col("entity_type") != "concept", "entity_type")).alias("entity_type"),
         F.max("canonical").alias("label"),
-        F.max_by("description", F.struct(F.length("description"), "id")).alias("description"),
+        F.max_by("description", F.struct(F.length("description"), "description")).alias("description"),
         F.max("confidence").alias("confidence"),
-        F.max_by("provenance", sure(F.col("provenance") != "obsidian_tag")).alias("provenance"),
+        F.max_by("provenance", sure(F.col("provenance") != "obsidian_tag", "provenance")).alias("provenance"),
         F.array_sort(F.collect_set("label")).alias("aliases"),
         F.array_sort(F.collect_set("doc_id")).alias("doc_ids"),
     )

@@ -1 +1,247 @@
-"""Plans."""
+"""Resolution, canonical merge, pruning and extraction plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.functions.text import slugify
+from loomgraph.operators import extraction, graph, resolve, writes
+from loomgraph.operators import retrieval as rt
+from loomgraph.plans.catalog import query
+from loomgraph.plans.testbed import Bed
+
+#: Labels with planted variants: plurals, legal endings, acronyms, surnames, accents.
+_VARIANT_SQL = """variant as (
+    select 'part ' || p_partkey || ' ' || p_name as label, 'tool' as entity_type, p_partkey as k from part where p_partkey % 40 = 0
+    union all select 'part ' || p_partkey || ' ' || p_name || 's', 'tool', p_partkey from part where p_partkey % 80 = 0
+    union all select 'Part-' || p_partkey || ' ' || p_name, 'concept', p_partkey from part where p_partkey % 120 = 0
+    union all select 'Maker Q' || s_suppkey, 'source', s_suppkey from supplier where s_suppkey % 5 = 0
+    union all select 'Maker Q' || s_suppkey || ' Inc', 'source', s_suppkey from supplier where s_suppkey % 10 = 0
+    union all select 'Ann Vela' || chr(cast(97 + c_custkey % 26 as int)) || 'q' || chr(cast(97 + c_custkey // 26 % 26 as int)), 'person', c_custkey from customer where c_custkey < 60
+    union all select 'Vela' || chr(cast(97 + c_custkey % 26 as int)) || 'q' || chr(cast(97 + c_custkey // 26 % 26 as int)), 'concept', c_custkey from customer where c_custkey < 60 and c_custkey % 3 = 0
+    union all select n_name || ' Bureau of Trade Norms', 'source', n_nationkey from nation
+    union all select upper(substr(n_name, 1, 1)) || 'BTN', 'concept', n_nationkey from nation where n_nationkey % 4 = 0
+    union all select upper(substr(n_name, 1, 1)) || 'TN', 'concept', n_nationkey from nation where n_nationkey % 4 = 1)"""
+
+VARIANT = _VARIANT_SQL.split("as (", 1)[1].rsplit(")", 1)[0].replace("c_custkey // 26", "floor(c_custkey / 26)").replace("from part where", "from {part} where").replace("from supplier where", "from {supplier} where").replace("from customer where", "from {customer} where").replace("from nation", "from {nation}")
+
+
+def variants(b: Bed) -> DataFrame:
+    return b.spark.sql(VARIANT, part=b.part, supplier=b.supplier, customer=b.customer, nation=b.nation)
+
+
+_STOP = "('of', 'the', 'and', 'for', 'a', 'an', 'to', 'in', 'on', '&', 'de', 'von', 'der')"
+_KEYS = f"""{_VARIANT_SQL},
+  n as (select label, min(entity_type) as entity_type, trim(regexp_replace(replace(lower(strip_accents(label)), '''', ''), '[^a-z0-9]+', ' ', 'g')) as norm from variant group by label),
+  t as (select *, string_split(norm, ' ') as toks, string_split(norm, ' ')[-1] as last_ from n),
+  keys as (select label, entity_type, norm, toks,
+    array_to_string(list_append(toks[:-2], case when regexp_matches(last_, '(is|us|ss)$') then last_ when length(last_) > 4 and last_ like '%ies' then substr(last_, 1, length(last_) - 3) || 'y'
+      when length(last_) > 3 and regexp_matches(last_, '[sxzo]es$') then substr(last_, 1, length(last_) - 2) when length(last_) > 3 and last_ like '%s' then substr(last_, 1, length(last_) - 1) else last_ end), ' ') as sing,
+    array_to_string(list_transform(list_filter(toks, lambda x: x not in {_STOP}), lambda x: x[1]), '') as initials,
+    len(list_filter(toks, lambda x: x not in {_STOP})) as kept, regexp_matches(norm, '^[a-z]{{2,6}}$') as acronym from t),
+  block as (select distinct label, unnest(list_filter(toks, lambda x: x not in {_STOP})) as token from keys),
+  cand as (select distinct a.label as l, b.label as r from block a join block b on a.token = b.token and a.label < b.label
+    union select least(s.label, g.label), greatest(s.label, g.label) from keys s join keys g on s.norm = g.initials where s.acronym and g.kept >= 2 and s.label <> g.label)"""
+
+_LEGAL = "['inc', 'incorporated', 'llc', 'ltd', 'limited', 'corp', 'corporation', 'co', 'company', 'gmbh', 'plc']"
+
+
+def _except(x: str, y: str) -> str:
+    return f"list_filter({x}, lambda w: not list_contains({y}, w))"
+
+
+def _acronym(s: str, g: str, loose: bool) -> str:
+    shape = f"{s}.acronym and not {g}.acronym and len({g}.toks) >= 2 and regexp_matches({g}.label, '(^|\\s)\\p{{Lu}}')"
+    if not loose:
+        return f"({shape} and {s}.norm = {g}.initials)"
+    pattern = f"'^.*' || array_to_string(string_split({s}.norm, ''), '.*') || '.*$'"
+    return f"({shape} and length({s}.norm) >= 3 and {s}.norm <> {g}.initials and regexp_matches({g}.initials, {pattern}) and length({g}.initials) <= length({s}.norm) + 3)"
+
+
+def _suffix(x: str, y: str) -> str:
+    more = _except(f"{y}.toks", f"{x}.toks")
+    return f"(len({_except(f'{x}.toks', f'{y}.toks')}) = 0 and len({more}) > 0 and len({_except(more, _LEGAL)}) = 0)"
+
+
+def _surname(s: str, g: str) -> str:
+    full = f"regexp_replace({g}.norm, '^((dr|mr|mrs|ms|prof|professor|sir|dame) )+', '')"
+    return f"({g}.entity_type = 'person' and len({s}.toks) = 1 and length({s}.toks[1]) >= 3 and contains({full}, ' ') and string_split({full}, ' ')[-1] = {s}.toks[1])"
+
+
+_MATCH = f"""{_KEYS}, ruled as (select l, r, case when a.norm = b.norm and a.norm <> '' then 'normalized-equal' when a.norm <> b.norm and a.sing = b.sing and a.sing <> '' then 'plural'
+    when {_acronym("a", "b", False)} or {_acronym("b", "a", False)} then 'acronym' when {_acronym("a", "b", True)} or {_acronym("b", "a", True)} then 'acronym-subseq'
+    when {_suffix("a", "b")} or {_suffix("b", "a")} then 'legal-suffix' when {_surname("a", "b")} or {_surname("b", "a")} then 'surname' end as rule
+    from cand join keys a on a.label = l join keys b on b.label = r),
+  match as (select l, r, rule, case rule when 'normalized-equal' then 0.95 when 'plural' then 0.9 when 'acronym' then 0.9 when 'acronym-subseq' then 0.8 else 0.85 end::double as confidence from ruled where rule is not null)"""
+_CLUSTER = f"""{_MATCH}, link as (select l as a, r as b from match union select r, l from match),
+  reach(label, seen) as (select label, label from keys union select x.label, k.b from reach x join link k on k.a = x.seen),
+  part_of as (select label, min(seen) as cluster from reach group by label),
+  best as (select cluster, (list(label order by len(toks) desc, length(label) desc, cast(regexp_matches(label, '\\p{{Lu}}') as int) desc, label desc))[1] as canonical, count(*) as size from part_of join keys using (label) group by cluster),
+  canon as (select label, canonical, size from part_of join best using (cluster))"""
+
+
+@query("er_candidates", f"with {_KEYS} select l, r from cand")
+def _(b: Bed) -> DataFrame:
+    return resolve.candidates(resolve.label_keys(variants(b)))
+
+
+@query("er_matches", f"with {_MATCH} select l, r, rule, confidence from match")
+def _(b: Bed) -> DataFrame:
+    keys = resolve.label_keys(variants(b))
+    return resolve.matches(resolve.candidates(keys), keys)
+
+
+def canonical(b: Bed) -> DataFrame:
+    keys = resolve.label_keys(variants(b))
+    return resolve.clusters(keys, resolve.matches(resolve.candidates(keys), keys))
+
+
+@query("er_clusters", f"with recursive {_CLUSTER} select label, canonical, size from canon")
+def _(b: Bed) -> DataFrame:
+    return canonical(b)
+
+
+_SLUG = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+@query("er_slug_baseline", f"with {_VARIANT_SQL} select {_SLUG.format('label')} as slug, count(distinct label) as labels from variant group by 1")
+def _(b: Bed) -> DataFrame:
+    return variants(b).groupBy(slugify(F.col("label")).alias("slug")).agg(F.countDistinct("label").alias("labels"))
+
+
+_GOLD = "gold as (select label as item, min(case entity_type when 'source' then 's' else 'x' end || k) as g from variant group by label)"
+
+
+def _gold(b: Bed) -> DataFrame:
+    side = F.concat(F.when(F.col("entity_type") == "source", "s").otherwise("x"), F.col("k").cast("string"))
+    return variants(b).groupBy(F.col("label").alias("item")).agg(F.min(side).alias("cluster"))
+
+
+@query("bcubed", f"""with recursive {_CLUSTER}, {_GOLD}, x as (select c.label as item, c.canonical as p, g.g from canon c join gold g on g.item = c.label),
+    each as (select a.item, count(*) filter (where a.p = b.p and a.g = b.g)::double as shared, count(*) filter (where a.p = b.p) as np, count(*) filter (where a.g = b.g) as ng from x a, x b group by a.item),
+    m as (select avg(shared / np) as precision, avg(shared / ng) as recall from each) select round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / (precision + recall), 6) as f1 from m""")
+def _(b: Bed) -> DataFrame:
+    return resolve.bcubed(canonical(b).select(F.col("label").alias("item"), F.col("canonical").alias("cluster")), _gold(b))
+
+
+@query("merge_violations", f"with recursive {_CLUSTER}, {_GOLD}, x as (select c.label as item, c.canonical as p, g.g from canon c join gold g on g.item = c.label) select a.item as l, b.item as r from x a join x b on a.p = b.p and a.g <> b.g and a.item < b.item")
+def _(b: Bed) -> DataFrame:
+    both = canonical(b).select(F.col("label").alias("item"), F.col("canonical").alias("p")).join(_gold(b), "item")
+    x, y = both.alias("x"), both.alias("y")
+    return x.join(y, F.expr("x.p = y.p and x.cluster <> y.cluster and x.item < y.item")).select(F.col("x.item").alias("l"), F.col("y.item").alias("r"))
+
+
+_COS = "list_dot_product(x.embedding::double[], y.embedding::double[]) / nullif(sqrt(list_dot_product(x.embedding::double[], x.embedding::double[])) * sqrt(list_dot_product(y.embedding::double[], y.embedding::double[])), 0)"
+
+
+@query("er_embedding_matches", f"select x.id as l, y.id as r, round(round({_COS}, 9), 3) as confidence from vector x join vector y on x.id < y.id and (x.community_id = y.community_id or x.community_id = 0 or y.community_id = 0) where {_COS} >= 0.35")
+def _(b: Bed) -> DataFrame:
+    near = rt.similarities(b.vector, b.vector.select(F.col("id").alias("query_id"), "embedding"), least=0.35).where("query_id < id and similarity >= 0.35")
+    kind = b.vector.select("id", F.col("community_id").alias("k"))
+    both = near.join(kind.select(F.col("id").alias("query_id"), F.col("k").alias("kl")), "query_id").join(kind.select("id", F.col("k").alias("kr")), "id")
+    return both.where("kl = kr or kl = 0 or kr = 0").select(F.col("query_id").alias("l"), F.col("id").alias("r"), F.round("similarity", 3).alias("confidence"))
+
+
+def _extracted(b: Bed) -> DataFrame:
+    """Variants as extraction would hand them over."""
+    v = variants(b)
+    return v.select(
+        F.concat(F.lit("x_"), slugify(F.col("label")), F.lit("_"), "entity_type").alias("id"), "label", "entity_type", F.concat("entity_type", F.lit(" "), F.col("k").cast("string")).alias("description"),
+        ((F.col("k") % 50 + 50) / 100).alias("confidence"), F.when(F.col("k") % 2 == 0, "obsidian_tag").otherwise("llm").alias("provenance"), F.concat(F.lit("d"), (F.col("k") % 9).cast("string")).alias("doc_id"),
+    )
+
+
+_EXTRACTED = f"""extracted as (select 'x_' || {_SLUG.format("label")} || '_' || entity_type as id, label, entity_type, entity_type || ' ' || k as description, (k % 50 + 50) / 100::double as confidence,
+    case when k % 2 = 0 then 'obsidian_tag' else 'llm' end as provenance, 'd' || (k % 9) as doc_id from variant),
+  moved as (select e.*, {_SLUG.format("c.canonical")} as new_id, c.canonical from extracted e join canon c using (label))"""
+
+
+@query("canonicalize", f"""with recursive {_CLUSTER}, {_EXTRACTED} select new_id, (list(entity_type order by entity_type <> 'concept' desc, confidence desc, id desc))[1] as entity_type, max(canonical) as label,
+    (list(description order by length(description) desc, description desc))[1] as description, max(confidence) as confidence, (list(provenance order by provenance <> 'obsidian_tag' desc, confidence desc, id desc, provenance desc))[1] as provenance,
+    array_to_string(list_sort(list(distinct label)), '|') as aliases, array_to_string(list_sort(list(distinct doc_id)), '|') as doc_ids from moved group by new_id""")
+def _(b: Bed) -> DataFrame:
+    merged = resolve.merge_entities(_extracted(b), canonical(b))
+    return merged.withColumn("aliases", F.array_join("aliases", "|")).withColumn("doc_ids", F.array_join("doc_ids", "|"))
+
+
+@query("apply_resolution", f"""with recursive {_CLUSTER}, {_EXTRACTED}, e as (select a.id as src, b.id as dst, 'ASSOCIATED_WITH' as edge_type, a.confidence, b.label as evidence from extracted a join extracted b on a.doc_id = b.doc_id and a.label < b.label where a.entity_type = 'source')
+    select x.new_id as src, y.new_id as dst, max(e.confidence) as confidence from e join moved x on x.id = e.src join moved y on y.id = e.dst where x.new_id <> y.new_id group by 1, 2""")
+def _(b: Bed) -> DataFrame:
+    found = _extracted(b)
+    x, y = found.where("entity_type = 'source'").alias("x"), found.alias("y")
+    edges = x.join(y, F.expr("x.doc_id = y.doc_id and x.label < y.label")).select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"), F.lit("ASSOCIATED_WITH").alias("edge_type"), F.col("x.confidence").alias("confidence"), F.col("y.label").alias("evidence"))
+    ids = found.join(canonical(b), "label").select("id", slugify(F.col("canonical")).alias("new_id")).distinct()
+    return resolve.rewrite_edges(edges, ids).select("src", "dst", "confidence")
+
+
+_JUNK_ENTITY = """junky as (select id, entity_type, case when created_at % 11 = 0 then 'https://x.org/' || label when created_at % 13 = 0 then 'person_' || lower(replace(label, ' ', '_')) when created_at % 17 = 0 then '1987' else label end as label,
+    case when created_at % 17 = 0 then 'event' else entity_type end as kind, provenance from entity)"""
+_IS_JUNK = """(provenance = 'obsidian_tag' or id like 'tag\\_%' escape '\\' or (kind = 'event' and regexp_matches(label, '^(1[89]|20)[0-9]{2}$')) or regexp_matches(lower(label), 'http://|https://|www\\.|\\.com|\\.org|\\.md|\\.pdf|vault/|ontology\\.yaml')
+    or (regexp_matches(label, '^(concept|event|publication|location|product|organization|person|breed)_') and not contains(label, ' ') and lower(label) = label))"""
+_FREE = "id not in (select src from edge union select dst from edge) and id not in (select entity_id from mention union select entity_id from connects union select entity_id from binds)"
+
+
+def junky(b: Bed) -> DataFrame:
+    c = F.col("created_at")
+    label = F.when(c % 11 == 0, F.concat(F.lit("https://x.org/"), "label")).when(c % 13 == 0, F.concat(F.lit("person_"), F.lower(F.replace("label", F.lit(" "), F.lit("_"))))).when(c % 17 == 0, "1987").otherwise(F.col("label"))
+    return b.entity.select("id", F.when(c % 17 == 0, "event").otherwise(F.col("entity_type")).alias("entity_type"), label.alias("label"), "provenance")
+
+
+@query("junk_entities", f"with {_JUNK_ENTITY} select id, label from junky where {_IS_JUNK}")
+def _(b: Bed) -> DataFrame:
+    return junky(b).where(resolve.is_junk()).select("id", "label")
+
+
+def prune_candidates(b: Bed) -> DataFrame:
+    ends = b.edge.select(F.explode(F.array("src", "dst")).alias("id"))
+    return resolve.unlinked(junky(b).where(resolve.is_junk()), ends, b.mention.select("entity_id"), b.connects.select("entity_id"), b.binds.select("entity_id"))
+
+
+@query("prune_candidates", f"with {_JUNK_ENTITY} select id from junky where {_IS_JUNK} and {_FREE}")
+def _(b: Bed) -> DataFrame:
+    return prune_candidates(b).select("id")
+
+
+@query("rebuild_filtered", f"""with {_JUNK_ENTITY}, kept as (select id from junky where not ({_IS_JUNK} and {_FREE}))
+    select 'entity' as part, count(*) as n from kept union all select 'edge', count(*) from edge where src in (select id from kept) and dst in (select id from kept) union all select 'mention', count(*) from mention where entity_id in (select id from kept)""")
+def _(b: Bed) -> DataFrame:
+    kept = b.entity.join(prune_candidates(b).select("id"), "id", "left_anti")
+    counts = [("entity", kept), ("edge", writes.keep_linked(b.edge, kept)), ("mention", b.mention.join(kept.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"))]
+    out = None
+    for name, df in counts:
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("resolve_triplets", f"""select {_SLUG.format("a.label")} as src, {_SLUG.format("b.label")} as dst, edge_type, count(*) as n from edge r join entity a on a.id = r.src join entity b on b.id = r.dst group by 1, 2, 3""")
+def _(b: Bed) -> DataFrame:
+    name = b.entity.select("id", "label")
+    said = b.edge.join(name.select(F.col("id").alias("src"), F.col("label").alias("source")), "src").join(name.select(F.col("id").alias("dst"), F.col("label").alias("target")), "dst")
+    return extraction.resolve_edges(said.select("source", "target", "edge_type")).groupBy("src", "dst", "edge_type").agg(F.count("*").alias("n"))
+
+
+@query("parse_llm_json")
+def _(b: Bed) -> DataFrame:
+    return extraction.parse(extraction.as_answers(b.documents)).select("doc_id", F.size("result.entities").alias("entities"), F.size("result.edges").alias("edges"), "error")
+
+
+@query("validate_extraction")
+def _(b: Bed) -> DataFrame:
+    return extraction.entities(extraction.parse(extraction.as_answers(b.documents)))
+
+
+@query("scan_notes")
+def _(b: Bed) -> DataFrame:
+    """The repository's own documentation as a vault."""
+    from pathlib import Path
+
+    from loomgraph.sources.files import scan_vault
+
+    return scan_vault(b.spark, str(Path(__file__).resolve().parents[2])).select("relative_path", "doc_id", F.length("body").alias("chars"))
+
+
+@query("largest_components")
+def _(b: Bed) -> DataFrame:
+    return graph.components(b.entity, b.edge).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(5)

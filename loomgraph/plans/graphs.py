@@ -1 +1,172 @@
-"""Plans."""
+"""Traversal and structure plans."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.operators import graph
+from loomgraph.plans.catalog import query
+from loomgraph.plans.testbed import Bed
+
+
+@query("simple_graph", """select a, b, edge_type, weight from (select least(src, dst) as a, greatest(src, dst) as b, edge_type, weight, created_at, src from edge where src <> dst)
+    qualify row_number() over (partition by a, b order by created_at desc, edge_type desc, src desc) = 1""")
+def _(b: Bed) -> DataFrame:
+    return graph.simple_graph(b.edge)
+
+
+_STEP = "step as (select src, dst, max(confidence) as c from edge group by src, dst)"
+
+
+@query("find_path", f"""with recursive {_STEP}, walk(start, here, nodes, hops, conf) as (select id, id, [id], 0, 1.0::double from entity where entity_type = 'person' and contains(label, '77')
+      union all select w.start, s.dst, list_append(w.nodes, s.dst), w.hops + 1, w.conf * s.c from walk w join step s on s.src = w.here where w.hops < 4 and not list_contains(w.nodes, s.dst))
+    select start, here as end_, array_to_string(nodes, '>') as nodes, hops, round(conf, 4) as confidence from walk where hops > 0 and here in (select id from entity where entity_type = 'place')""")
+def _(b: Bed) -> DataFrame:
+    starts = b.entity.where(F.col("label").contains("77") & (F.col("entity_type") == "person"))
+    found = graph.paths(b.edge, starts, b.entity.where("entity_type = 'place'"), 4)
+    return found.select("start", F.col("end").alias("end_"), F.array_join("nodes", ">").alias("nodes"), "hops", "confidence")
+
+
+_LINK = "link as (select distinct a, b from (select src as a, dst as b from edge union all select dst, src from edge) where a <> b)"
+
+
+@query("shortest_path", f"""with recursive {_LINK}, walk(here, nodes, hops) as (select 'customer_2', ['customer_2'], 0 union all select l.b, list_append(w.nodes, l.b), w.hops + 1 from walk w join link l on l.a = w.here where w.hops < 4 and not list_contains(w.nodes, l.b)),
+    best as (select nodes from walk where here = 'region_1' order by hops, nodes limit 1)
+    select cast(i - 1 as integer) as step, nodes[i] as node from best, range(1, 10) as r(i) where i <= len(nodes)""")
+def _(b: Bed) -> DataFrame:
+    return graph.shortest_path(b.edge, "customer_2", "region_1")
+
+
+@query("neighborhood", f"""with {_LINK}, one as (select b as id from link where a = 'brand_brand_11'), two as (select l.b as id from one o join link l on l.a = o.id),
+    every as (select 'brand_brand_11' as id, 0 as d union all select id, 1 from one union all select id, 2 from two) select id, cast(min(d) as integer) as distance from every group by id""")
+def _(b: Bed) -> DataFrame:
+    seed = b.entity.where("id = 'brand_brand_11'")
+    return graph.neighborhood(b.edge, seed, 2).select("id", "distance")
+
+
+@query("verify_path", f"""with recursive seed as (select id from entity where id like 'part_11%'), walk(start, here, nodes, hops, kinds, thin) as (select id, id, [id], 0, []::varchar[], 0 from seed
+      union all select w.start, e.dst, list_append(w.nodes, e.dst), w.hops + 1, list_append(w.kinds, e.edge_type), w.thin + case when length(e.evidence) < 10 then 1 else 0 end
+      from walk w join edge e on e.src = w.here where w.hops < 2 and not list_contains(w.nodes, e.dst))
+    select array_to_string(nodes, '>') as nodes, array_to_string(kinds, '>') as kinds, cast(thin + len(list_filter(kinds, lambda k: k = 'CONFLICTS_WITH')) as integer) as contradictions,
+      cast(len(list_filter(kinds, lambda k: k = 'SUPPORTS')) as integer) as supports, thin + len(list_filter(kinds, lambda k: k = 'CONFLICTS_WITH')) = 0 as verified from walk where hops = 2""")
+def _(b: Bed) -> DataFrame:
+    front = b.entity.where("id like 'part_11%'").select(F.col("id").alias("at"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.lit(0).alias("thin"))
+    step = b.edge.select("src", "dst", "edge_type", (F.length("evidence") < 10).cast("int").alias("t"))
+    for _hop in range(2):
+        front = (
+            front.join(step, F.col("at") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+            .select(F.col("dst").alias("at"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("kinds", F.col("edge_type")).alias("kinds"), (F.col("thin") + F.col("t")).alias("thin"))
+        )
+    against = F.col("thin") + F.size(F.filter("kinds", lambda k: k == "CONFLICTS_WITH"))
+    return front.select(
+        F.array_join("nodes", ">").alias("nodes"), F.array_join("kinds", ">").alias("kinds"), against.alias("contradictions"),
+        F.size(F.filter("kinds", lambda k: k == "SUPPORTS")).alias("supports"), (against == 0).alias("verified"),
+    )
+
+
+_PARTS = "edge where edge_type in ('SUPPORTS', 'CONFLICTS_WITH')"
+
+
+def _belief_edges(b: Bed) -> DataFrame:
+    return b.edge.where(F.col("edge_type").isin("SUPPORTS", "CONFLICTS_WITH"))
+
+
+@query("components", f"""with recursive known as (select r.src, r.dst from {_PARTS} as t(src, dst, edge_type, weight, confidence, evidence, created_at), lateral (select t.src, t.dst) r
+      where t.src in (select id from entity) and t.dst in (select id from entity)),
+    link as (select src as a, dst as b from known union select dst, src from known),
+    reach(id, seen) as (select id, id from entity union select r.id, l.b from reach r join link l on l.a = r.seen)
+    select id, min(seen) as component from reach group by id""".replace("edge where edge_type in ('SUPPORTS', 'CONFLICTS_WITH') as t(src, dst, edge_type, weight, confidence, evidence, created_at), lateral (select t.src, t.dst) r\n      where", "edge t, lateral (select t.src, t.dst) r\n      where t.edge_type in ('SUPPORTS', 'CONFLICTS_WITH') and"))
+def _(b: Bed) -> DataFrame:
+    return graph.components(b.entity, _belief_edges(b))
+
+
+@query("bridges", f"""with recursive pair as (select distinct least(src, dst) as a, greatest(src, dst) as b from {_PARTS} and src <> dst),
+    link as (select a as x, b as y from pair union select b, a from pair),
+    reach(a, b, seen) as (select a, b, a from pair union select r.a, r.b, l.y from reach r join link l on l.x = r.seen where not (least(l.x, l.y) = r.a and greatest(l.x, l.y) = r.b))
+    select a, b from pair p where not exists (select 1 from reach r where r.a = p.a and r.b = p.b and r.seen = p.b)""")
+def _(b: Bed) -> DataFrame:
+    return graph.bridges(_belief_edges(b))
+
+
+@query("community_gaps", """with size as (select community_id as c, count(*) as n from community group by 1 having count(*) >= 3),
+    cross_ as (select least(x.community_id, y.community_id) as a, greatest(x.community_id, y.community_id) as b, count(*) as links from edge r join community x on x.entity_id = r.src join community y on y.entity_id = r.dst where x.community_id <> y.community_id group by 1, 2),
+    deg as (select id, count(*) as d from (select src as id from edge union all select dst from edge) group by id),
+    top as (select c, string_agg(label, ', ' order by r) as names from (select m.community_id as c, e.label, row_number() over (partition by m.community_id order by coalesce(d.d, 0) desc, m.entity_id) as r from community m join entity e on e.id = m.entity_id left join deg d on d.id = m.entity_id) where r <= 3 group by c)
+    select a.c as a, b.c as b, a.n as size_a, b.n as size_b, coalesce(x.links, 0) as links, case when coalesce(x.links, 0) = 0 then 'HIGH' else 'MEDIUM' end as severity, ta.names as names_a, tb.names as names_b
+    from size a join size b on a.c < b.c left join cross_ x on x.a = a.c and x.b = b.c join top ta on ta.c = a.c join top tb on tb.c = b.c where coalesce(x.links, 0) <= 2""")
+def _(b: Bed) -> DataFrame:
+    members = b.community.select(F.col("entity_id").alias("id"), F.col("community_id").alias("community"))
+    return graph.community_gaps(members, b.edge, b.entity)
+
+
+@query("communities")
+def _(b: Bed) -> DataFrame:
+    return graph.label_communities(b.entity, b.edge)
+
+
+def _summaries(b: Bed, least: int = 3) -> DataFrame:
+    """(community, size, top_entities, summary) of communities of at least `least` members."""
+    members = graph.label_communities(b.entity, b.edge)
+    ranked = members.join(graph.degrees(b.entity, b.edge), "id").join(b.entity.select("id", "label", "entity_type", "description"), "id")
+    item = F.struct((-F.col("degree")).alias("d"), "id", "label", "entity_type", "description")
+    size = members.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("community").orderBy(F.desc("degree"), "id")
+    top = ranked.withColumn("r", F.row_number().over(order)).where("r <= 5").groupBy("community").agg(F.array_sort(F.collect_list(item)).alias("top"))
+    text = F.array_join(F.transform("top", lambda t: F.concat(t["label"], F.lit(" ("), t["entity_type"], F.lit("): "), t["description"])), ". ")
+    return size.join(top, "community").select(
+        F.concat(F.lit("community_"), "community").alias("id"), "community", "size", F.transform("top", lambda t: t["label"]).alias("top_entities"),
+        F.concat(F.lit("Community of "), F.col("size").cast("string"), F.lit(" related concepts. "), text).alias("summary"),
+    )
+
+
+@query("community_summaries")
+def _(b: Bed) -> DataFrame:
+    return _summaries(b)
+
+
+@query("community_members")
+def _(b: Bed) -> DataFrame:
+    members = graph.label_communities(b.entity, b.edge)
+    return members.join(b.entity.select("id", "label", "entity_type"), "id")
+
+
+@query("betweenness")
+def _(b: Bed) -> DataFrame:
+    scores = graph.betweenness(b.edge.where("edge_type in ('PART_OF', 'LEARNED_FROM')"), sources=200)
+    return scores.join(graph.degrees(b.entity, b.edge), "id").withColumn("surprising", (F.col("betweenness") > 0.05) & (F.col("degree") < 10)).orderBy(F.desc("betweenness"), "id").limit(20)
+
+
+@query("skeleton")
+def _(b: Bed) -> DataFrame:
+    return graph.skeleton(_belief_edges(b))
+
+
+@query("homology")
+def _(b: Bed) -> DataFrame:
+    found = graph.homology(b.edge, b.entity, most=60)
+    return b.spark.createDataFrame([(found["h0"], found["h1"], json.dumps(found["persistent"]))], "h0 int, h1 int, persistent string")
+
+
+@query("topology_report")
+def _(b: Bed) -> DataFrame:
+    parts = graph.components(b.entity, b.edge).groupBy("component").agg(F.count("*").alias("n"))
+    shape = parts.agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("isolated"))
+    conflicts = b.edge.where("edge_type = 'CONFLICTS_WITH'").agg(F.count("*").alias("contradictions"))
+    cut = graph.bridges(_belief_edges(b)).agg(F.count("*").alias("belief_bridges"))
+    return shape.join(F.broadcast(conflicts)).join(F.broadcast(cut))
+
+
+@query("briefing")
+def _(b: Bed) -> DataFrame:
+    """The daily reflection as (section, line) rows."""
+    from loomgraph.plans.relational import CUTOFF, labelled
+
+    new = b.entity.where(F.col("created_at") > CUTOFF).groupBy("entity_type").count().select(F.lit("new ideas").alias("section"), F.concat_ws(": ", "entity_type", F.col("count").cast("string")).alias("line"))
+    clash = labelled(b, b.edge.where("edge_type = 'CONFLICTS_WITH'")).orderBy(F.desc("created_at"), "src").limit(5).select(F.lit("conflicts"), F.concat_ws(" vs ", "src_label", "dst_label"))
+    old = b.entity.where(F.col("created_at") < CUTOFF).join(b.edge.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti").orderBy("created_at", "id").limit(5).select(F.lit("underdeveloped"), "label")
+    return new.union(clash).union(old)
