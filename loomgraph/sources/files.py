@@ -24,7 +24,7 @@ def scan_vault(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/").removeprefix("file:")
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^.*" + _escaped(base) + "/+", "")
     part = F.slice(F.split("relative_path", "/"), 1, F.greatest(F.size(F.split("relative_path", "/")) - 1, F.lit(0)))
-    notes = files.select("path", relative.alias("relative_path"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("full_text"))
+    notes = files.select("path", relative.alias("relative_path"), F.col("modificationTime").alias("modified"), F.make_valid_utf8(F.col("content").cast("string")).alias("full_text"))
     kept = notes.where(~F.arrays_overlap(part, F.array(*[F.lit(x) for x in IGNORED])))
     text = F.col("full_text")
     return kept.select(
@@ -66,7 +66,7 @@ def html_to_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """(path, doc_id, suffix, text) of the .txt, .md and .html files right in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(root)
-    read = files.select("path", F.lower(F.substring_index("path", ".", -1)).alias("suffix"), F.decode("content", "UTF-8").alias("text"))
+    read = files.select("path", F.lower(F.substring_index("path", ".", -1)).alias("suffix"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     plain = read.where("suffix <> 'html'").select("path", "suffix", "text")
     parsed = html_to_text(read.where("suffix = 'html'"), "path", "text").select(F.col("id").alias("path"), F.lit("html").alias("suffix"), "text")
     return plain.unionByName(parsed).select("path", short_hash(F.col("path")).alias("doc_id"), "suffix", "text")
