@@ -142,9 +142,11 @@ def is_junk(id: str = "id", label: str = "label", kind: str = "entity_type", pro
 
 def unlinked(entities: DataFrame, *ends: DataFrame) -> DataFrame:
     """Entities that none of the single-column tables of linked ids has."""
+    every = None
     for linked in ends:
-        entities = entities.join(linked.select(F.col(linked.columns[0]).alias("id")).distinct(), "id", "left_anti")
-    return entities
+        ids = linked.select(F.col(linked.columns[0]).alias("id"))
+        every = ids if every is None else every.unionByName(ids)
+    return entities if every is None else entities.join(every.distinct(), "id", "left_anti")
 
 
 def bcubed(predicted: DataFrame, gold: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from loomgraph.operators import extraction, graph, resolve, writes
 from loomgraph.operators import retrieval as rt
 from loomgraph.plans.catalog import query
 from loomgraph.plans.testbed import Bed
+from loomgraph.session import materialize
 
 #: Labels with planted variants: plurals, legal endings, acronyms, surnames, accents.
 _VARIANT_SQL = """variant as (
@@ -206,7 +207,7 @@ def _(b: Bed) -> DataFrame:
 @query("rebuild_filtered", f"""with {_JUNK_ENTITY}, kept as (select id from junky where not ({_IS_JUNK} and {_FREE}))
     select 'entity' as part, count(*) as n from kept union all select 'edge', count(*) from edge where src in (select id from kept) and dst in (select id from kept) union all select 'mention', count(*) from mention where entity_id in (select id from kept)""")
 def _(b: Bed) -> DataFrame:
-    kept = b.entity.join(prune_candidates(b).select("id"), "id", "left_anti")
+    kept = materialize(b.entity.join(prune_candidates(b).select("id"), "id", "left_anti").select("id"), "rebuild-kept")
     counts = [("entity", kept), ("edge", writes.keep_linked(b.edge, kept)), ("mention", b.mention.join(kept.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"))]
     out = None
     for name, df in counts:

@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.session import read_table
+from loomgraph.session import materialize, read_table
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 EPOCH = 1_700_000_000
@@ -91,6 +91,11 @@ TABLES: dict[str, str] = {
 }
 
 
+#: Tables that are written before they are used: the graph itself.
+STORED = ("entity", "edge")
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Bed:
     """The tables as DataFrames, each built when first asked for."""
 
@@ -105,9 +110,17 @@ class Bed:
                 self._made[name] = read_table(self.spark, self.sf_dir, name)
             else:
                 used = {t: getattr(self, t) for t in re.findall(r"\{(\w+)\}", TABLES[name])}
-                self._made[name] = self.spark.sql(TABLES[name], **used)
+                made = self.spark.sql(TABLES[name], **used)
+                self._made[name] = self._stored(name, made) if name in STORED else made
         return self._made[name]
 
+    def _stored(self, name: str, made: DataFrame) -> DataFrame:
+        """The table as written once per application, as a graph's tables are."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = materialize(made, f"bed-{name}")
+        return _WRITTEN[key]
+
     @cached_property
     def chunk(self) -> DataFrame:
         from loomgraph.functions.text import chunk_documents
