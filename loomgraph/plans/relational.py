@@ -402,7 +402,7 @@ def _(b: Bed) -> DataFrame:
     return writes.replace_by_doc(b.chunk.select("id", "doc_id", "body"), new, touched)
 
 
-@query("ingest_chunks", "select doc_id, count(*) as chunks, sum(length(body)) as chars, min(chunk_index) as first_, max(chunk_index) as last_ from chunk group by doc_id")
+@query("ingest_chunks", "select doc_id, count(*) as chunks, cast(sum(length(body)) as bigint) as chars, min(chunk_index) as first_, max(chunk_index) as last_ from chunk group by doc_id")
 def _(b: Bed) -> DataFrame:
     return b.chunk.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("body")).alias("chars"), F.min("chunk_index").alias("first_"), F.max("chunk_index").alias("last_"))
 
