@@ -137,6 +137,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     ids = materialize(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count(), "simhash-kept")
-    once = docs.join(ids.where("count = 1").select(id_col), id_col, "left_semi")
+    # a merge join at every size, so that what is shuffled grows as the texts do and no id list is broadcast
+    once = docs.join(ids.where("count = 1").select(id_col).hint("merge"), id_col, "left_semi")
     again = docs.join(ids.where("count > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
     return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
