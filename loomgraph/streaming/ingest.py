@@ -62,5 +62,6 @@ def best_entities(spark: SparkSession, path: str, store: Store, checkpoint: str,
 
 def daily_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events of each type and day, on a stream or a table; `late` is how long a stream waits for stragglers."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks take no zoneless times
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     return timed.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
