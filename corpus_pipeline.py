@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import packing, resampling, simhash, toxicity
+from loomgraph.llm import neardup, packing, resampling, toxicity
 from loomgraph.llm.queries import tokenizer_path
 from loomgraph.session import materialize, read_table
 
@@ -25,8 +25,8 @@ def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest id, of each group of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """One document, with the smallest id, of each group linked by a shingle similarity of 0.8 and more."""
+    return neardup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
