@@ -137,7 +137,7 @@ def _(b: Bed) -> DataFrame:
 
 @query("betweenness")
 def _(b: Bed) -> DataFrame:
-    scores = graph.betweenness(b.edge.where("edge_type in ('PART_OF', 'LEARNED_FROM')"), sources=200)
+    scores = graph.betweenness(b.edge)
     return scores.join(graph.degrees(b.entity, b.edge), "id").withColumn("surprising", (F.col("betweenness") > 0.05) & (F.col("degree") < 10)).orderBy(F.desc("betweenness"), "id").limit(20)
 
 
