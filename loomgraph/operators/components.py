@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import materialize
+from loomgraph.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .where("a <> b")
             .distinct()
         )
-        pairs = materialize(small, "cc-round")
+        old, pairs = pairs, materialize(small, "cc-round")
+        discard(old)
         state = pairs.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()

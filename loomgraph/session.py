@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,8 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 _SHIPPED: set[str] = set()
 
@@ -36,9 +38,13 @@ def build_session(app: str = "loomgraph", master: str | None = None, **conf: str
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in every Python worker (once per application).
 
-    Rows go to Python in small batches, so that a batch of long texts fits in memory.
+    Rows go to Python in batches of bounded rows and bytes, so that long texts fit in
+    memory; a session that has larger bounds gets these.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        given = spark.conf.get(key)
+        if not given.isdigit() or not 0 < int(given) <= most:
+            spark.conf.set(key, most)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -54,12 +60,16 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) is a folder made here.
+    Where it is unset, a folder is made here if the application runs on one machine (tests);
+    on a cluster, whose executors could not see it, that is an error.
     """
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not shared:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, shared.removeprefix("file://"), ignore_errors=True)
         context.setCheckpointDir(shared)
     elif not context.getCheckpointDir():
         context.setCheckpointDir(shared)
@@ -71,7 +81,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a materialized table that nothing reads any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
