@@ -1,11 +1,13 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions only.
 
-Tokens are runs of up to six letters or digits, and single marks. Every two tokens in
-a row are an inner substring (s = 2), every six a k-mer (k = 6), which holds five inner
-substrings. A k-mer is chosen if the smallest hash of the five is that of the first or
-the last: a rule that looks at nothing outside the k-mer, so an edit moves no anchor
-that it does not touch. The fingerprint is the 128 smallest hashes of the chosen k-mers;
-the likeness of two is the share, among the 128 smallest of both, of those in both.
+Tokens are decided by the letters on the spot, never by counting from somewhere: a run of
+Latin letters ends behind each e or o and before whatever is no Latin letter; any other
+character but a blank is a token of its own. Every two tokens in a row are an inner
+substring (s = 2), every six a k-mer (k = 6), which holds five inner substrings. A k-mer
+is chosen if the smallest hash of the five is that of the first or the last: a rule that
+looks at nothing outside the k-mer, so an edit moves no anchor that it does not touch.
+The fingerprint is the 128 smallest hashes of the chosen k-mers; the likeness of two is
+the share, among the 128 smallest of both, of those in both.
 """
 
 from __future__ import annotations
@@ -15,12 +17,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]{1,6}|[^\p{L}\p{N}\s]"
+#: Latin letters, as ranges: much faster than a script property.
+LATIN = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u1E00-\u1EFF"
+TOKEN = rf"[{LATIN}&&[^eoEO]]*+[eoEO]|[{LATIN}]+|\S"
 K, S = 6, 2
 #: Hashes in a fingerprint.
 SIZE = 128
-#: Quantiles of the ids that neighbours are looked up in, and rows of a part of one.
-QUANTILES, PART_ROWS = 256, 20_000
+#: Bytes of text in a range of neighbours, ranges at most, and places sampled for each range.
+RANGE_BYTES, MOST_RANGES, SAMPLED = 8 << 20, 1 << 14, 16
+#: Bounds in one step of the search for a row's range.
+CHUNK = 128
+#: Rows equal in id and text beyond which a group is folded into one row while neighbours are found.
+MANY = 10_000
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -82,53 +90,95 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id_col, at, hash) per anchor: the input of positional matching."""
     made = with_anchors(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")), "_text", "_anchors")
-    return made.select(id_col, F.explode("_anchors").alias("_a")).select(id_col, "_a.at", "_a.hash")
+    # outer: else Spark infers a filter on the array's size and pushes all that it is made of into it, once for each use
+    return made.select(id_col, F.explode_outer("_anchors").alias("_a")).where("_a is not null").select(id_col, "_a.at", "_a.hash")
+
+
+def _bounds(keyed: DataFrame, total: int) -> list[str] | None:
+    """Two JSON arrays of (id, hash) that cut the rows into ranges of about equal bytes; None for one range.
+
+    Places are sampled by a hash, in proportion to their bytes; every SAMPLED-th is a bound.
+    """
+    ranges = min(MOST_RANGES, math.ceil(total / RANGE_BYTES))
+    if ranges < 2:
+        return None
+    share = F.least(F.lit(1.0), F.col("_bytes") * (SAMPLED * ranges / total))
+    u = F.pmod(F.xxhash64("_id", "_h", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    numbered = keyed.where(u < share).select(F.struct("_id", "_h").alias("b")).withColumn("n", F.row_number().over(Window.orderBy("b")))
+    every = numbered.where(F.col("n") % SAMPLED == 0).select("b", F.floor((F.col("n") / SAMPLED - 1) / CHUNK).alias("c"))
+    chunks = every.groupBy("c").agg(F.sort_array(F.collect_set("b")).alias("bs")).agg(F.sort_array(F.collect_list("bs")).alias("all"))
+    found = chunks.select(F.to_json(F.transform("all", lambda bs: bs[0])), F.to_json("all"), F.size("all")).first()
+    return [found[0], found[1]] if found[2] else None
 
 
 def with_next(rows: DataFrame, id_col: str, text_col: str, carried: dict[str, str]) -> DataFrame:
-    """Adds columns of the next row in order of (id, text), the first row's after the last.
+    """Adds columns of the next row in order of (id, hash of the text), the first row's after the last.
 
-    carried: column to name of its next. Ids are cut into ranges, and the first row of
-    each range also goes, as a sentinel, to the end of the range before, so that a
-    window over one range at a time finds every next row. Null ids come first.
+    carried: column to name of its next. Rows are cut into ranges of about equal bytes, and
+    the first row of each range also goes, as a sentinel, to the end of the range before, so
+    that a window over one range at a time finds every next row. Ids of any type that has an
+    order are compared as they are; nulls come first. One id with many texts is cut as well;
+    MANY rows equal in both are folded into one, as each but the last is followed by its like.
     """
     spark = rows.sparkSession
-    keyed = rows.withColumn("_key", F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf"))))
-    finite = keyed.where("_key > double('-infinity')")
-    bounds = sorted(set(finite.select("_key").approxQuantile("_key", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES)) or [0.0]))
-    n = rows.select(F.count("*")).first()[0]
-    parts = max(1, math.ceil(n / QUANTILES / PART_ROWS))
-    marks = "array(" + ", ".join(f"double('{b!r}')" for b in bounds) + ")"
-    keyed = keyed.withColumn("_q", F.expr(f"size(filter({marks}, b -> b <= _key))"))
-    low, high = f"element_at({marks}, greatest(_q, 1))", f"element_at({marks}, least(_q + 1, {len(bounds)}))"
-    share = f"least({parts - 1}, greatest(0, floor({parts} * (_key - {low}) / nullif({high} - {low}, 0D))))"
-    inside = F.expr(f"if(_q between 1 and {len(bounds) - 1}, coalesce({share}, 0), 0)") if parts > 1 else F.lit(0)
-    keyed = keyed.withColumn("_range", F.col("_q").cast("long") * parts + inside.cast("long"))
-
-    firsts = sorted((r[0], r[1]) for r in keyed.groupBy("_range").agg(F.min("_key")).collect())
-    before = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]  # of the first range: the last
-    sentinels = spark.createDataFrame(before, "_key double, _before long")
-    copies = F.expr(
-        "if(_before is null, array(named_struct('r', _range, 's', 0)), array(named_struct('r', _range, 's', 0), named_struct('r', _before, 's', 1)))"
-    )
+    keyed = rows.withColumn("_id", F.col(id_col)).withColumn("_h", F.xxhash64(text_col)).withColumn("_bytes", F.octet_length(text_col).cast("long") + 1)
+    kind = rows.schema[id_col].dataType.simpleString()
+    total = keyed.agg(F.sum("_bytes")).first()[0] or 0
+    bounds = _bounds(keyed, total)
+    if bounds is None:
+        place = F.lit(0).cast("long")
+    else:
+        bound = f"struct<_id:{kind},_h:bigint>"
+        heads = f"from_json('{_quoted(bounds[0])}', 'array<{bound}>')"
+        chunks = f"from_json('{_quoted(bounds[1])}', 'array<array<{bound}>>')"
+        key = "named_struct('_id', _id, '_h', _h)"
+        keyed = keyed.withColumn("_c", F.expr(f"size(filter({heads}, b -> b <= {key}))"))
+        place = F.expr(f"if(_c = 0, 0L, (_c - 1L) * {CHUNK} + size(filter(element_at({chunks}, _c), b -> b <= {key})))")
+    keyed = keyed.withColumn("_range", place).drop("_c", "_bytes")
+
+    first = keyed.groupBy("_range").agg(F.min(F.struct("_id", "_h")).alias("k")).orderBy("_range").collect()  # a row for each range
+    if not first:
+        return rows.select("*", *(F.col(c).alias(n) for c, n in carried.items()))
+    before = [(r.k["_id"], r.k["_h"], first[i - 1]["_range"]) for i, r in enumerate(first)]  # of the first range: the last
+    sentinels = spark.createDataFrame(before, f"_sid {kind}, _sh long, _before long")
+    many = keyed.groupBy("_id", "_h").count().where(F.col("count") > MANY).select("_id", "_h", F.col("count").alias("_copies"))
+    crowds = many.count()
+    if crowds:
+        full = many.select(F.col("_id").alias("_cid"), F.col("_h").alias("_ch"), "_copies")
+        same = F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_h") == F.col("_ch"))
+        others = [c for c in keyed.columns if c not in ("_id", "_h")]
+        one = keyed.join(full, same).groupBy("_id", "_h", "_copies").agg(*(F.first(c).alias(c) for c in others))
+        keyed = keyed.join(full, same, "left_anti").withColumn("_copies", F.lit(1).cast("long")).unionByName(one)
+    copies = F.expr("if(_before is null, array(named_struct('r', _range, 's', 0)), array(named_struct('r', _range, 's', 0), named_struct('r', _before, 's', 1)))")
     placed = (
-        keyed.join(F.broadcast(sentinels) if len(before) <= 100_000 else sentinels, "_key", "left")
+        keyed.join(F.broadcast(sentinels), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_h") == F.col("_sh")), "left")
         .withColumn("_place", F.explode(copies))
         .withColumn("_range", F.col("_place.r"))
         .withColumn("_sentinel", F.col("_place.s"))
     )
-    order = Window.partitionBy("_range").orderBy("_sentinel", "_key", F.col(text_col))
+    order = Window.partitionBy("_range").orderBy("_sentinel", "_id", "_h")
     for column, name in carried.items():
         placed = placed.withColumn(name, F.lead(column).over(order))
-    return placed.where("_sentinel = 0").drop("_key", "_q", "_before", "_place", "_range", "_sentinel")
+    placed = placed.where("_sentinel = 0").drop("_id", "_h", "_sid", "_sh", "_before", "_place", "_range", "_sentinel")
+    if crowds:
+        placed = placed.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
+        for column, name in carried.items():
+            placed = placed.withColumn(name, F.when(F.col("_copy") == 1, F.col(name)).otherwise(F.col(column)))
+        placed = placed.drop("_copy", "_copies")
+    return placed
+
+
+def _quoted(literal: str) -> str:
+    return literal.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness.
 
     The edited text has its last floor(n/4) code points replaced by the first as many
-    (or all) of the next document's text. Null texts count as empty. Rows with equal
-    ids are ordered by text; a table of one row is its own next.
+    (or all) of the next document's text. Null texts count as empty. Rows with equal ids
+    are ordered by a hash of their texts; a table of one row is its own next. Ids may be of
+    any type with an order. Other columns are ignored.
     """
     made = with_sketch(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")), "_text", "_sketch")
     there = with_next(made, id_col, "_text", {"_text": "_next_text", "_sketch": "_next_sketch"})
