@@ -26,10 +26,7 @@ def op2_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shuffle_into_shards(read_table(spark, sf_dir, "documents"), shards=8)
-    return placed.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    return sharding.report(read_table(spark, sf_dir, "documents"), shards=8)
 
 
 def op4_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +55,7 @@ def op9_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ranks_path=tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
