@@ -1,13 +1,17 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text.
 
-Two bag-of-n-gram models share their buckets: one of the target (labelled good text,
-a bounded sample), one of all raw text. A document's importance is the ratio of its
-probabilities under the two, per n-gram, put on a log-odds scale with the labelled
-sample. The sample is drawn without replacement by Gumbel top-k: noise seeded by the
-row is added to each log weight, and the k largest sums stay.
-
-n-grams are byte trigrams, and word pairs in which a word that repeats the one before
-has a bucket of its own.
+Two generative models share their buckets: one of the target (a bounded sample of rows
+that are labelled good), one of all raw text. Each gives a byte's probability after the
+two bytes before it (hashed trigrams over hashed pairs) and the probability that a word
+repeats the one before. A document's log weight is the log ratio of the two models over
+a passage of REFERENCE n-grams that is like the document: the log ratio of the whole
+text, divided by its n-grams and times REFERENCE, so that long texts do not outweigh
+everything. Nothing else goes into it; documents that are labelled bad have no part.
+
+The sample is drawn without replacement by Gumbel top-k: standard Gumbel noise, seeded by
+the row, is added to each log weight, and the k largest sums stay. k does not follow from
+the sign of the weights: it is the number of documents that weigh as much as the lightest
+target document that was set aside when the models were counted.
 """
 
 from __future__ import annotations
@@ -20,30 +24,37 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.session import materialize, ship_package
 
-TRIGRAMS, PAIRS = 1 << 14, 1 << 12
-BUCKETS = TRIGRAMS + PAIRS + 1  # the last is of repeated words
-#: Labelled rows of each class that the target model and the scale are fitted on, at most, and their longest text.
-SAMPLE, SAMPLE_CHARS = {0: 2000, 1: 2000}, 100_000
-#: Noise is scaled by this against the log weights.
-TEMPERATURE = 0.1
-SMOOTH, PRIOR = 0.5, 20.0
+TRIGRAMS, CONTEXTS = 1 << 14, 1 << 12
+BUCKETS = TRIGRAMS + CONTEXTS + 2  # the last two: word pairs that do not repeat a word, and that do
+#: Target rows at most; every ASIDE-th of them is kept from the counts.
+TARGET_ROWS, ASIDE = 2000, 4
+#: Bytes of labelled text that may be collected at once.
+SAMPLE_BYTES = 64 << 20
+#: n-grams of the passage that a weight stands for, and n-grams without evidence that a text counts as having besides its own.
+REFERENCE, PRIOR = 256, 100.0
+#: A word pair weighs like the letters of a word.
+WORD_GRAMS = 6
+SMOOTH = 0.5
 SEED = 5
 
 
-def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all byte trigrams and of all word pairs."""
+def grams(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all byte trigrams, of their first two bytes, and of all word pairs."""
     b = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.uint32)
-    three = (b[:-2] * np.uint32(2654435761) ^ b[1:-1] * np.uint32(40503) ^ b[2:] * np.uint32(2246822519)) >> np.uint32(7) & np.uint32(TRIGRAMS - 1) if len(b) > 2 else b[:0]
+    if len(b) > 2:
+        two = b[:-2] * np.uint32(2654435761) ^ b[1:-1] * np.uint32(40503)
+        three = (two ^ b[2:] * np.uint32(2246822519)) >> np.uint32(7) & np.uint32(TRIGRAMS - 1)
+        two = (two >> np.uint32(9) & np.uint32(CONTEXTS - 1)) + np.uint32(TRIGRAMS)
+    else:
+        two = three = b[:0]
     words = text.split()
-    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    pairs = ((h[:-1] * np.uint32(2654435761) ^ h[1:]) * np.uint32(2246822519) >> np.uint32(11) & np.uint32(PAIRS - 1)) + np.uint32(TRIGRAMS)
-    pairs[h[:-1] == h[1:]] = BUCKETS - 1
-    return three, pairs
+    again = np.fromiter(map(bytes.__eq__, words[:-1], words[1:]), bool, max(0, len(words) - 1))
+    return three, two, again + np.uint32(TRIGRAMS + CONTEXTS)
 
 
 def count_grams(texts: list[bytes]) -> np.ndarray:
@@ -56,12 +67,17 @@ def count_grams(texts: list[bytes]) -> np.ndarray:
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of a task's texts: a row for each bucket that has any."""
-    total = np.zeros(BUCKETS, np.int64)
+    total, parts, waiting = np.zeros(BUCKETS, np.int64), [], 0
     for batch in batches:
-        blob = [(t.as_py() or "").encode() for t in batch.column(0)]
-        for start in range(0, len(blob), 64):
-            parts = [p for text in blob[start : start + 64] for p in grams(text)]
-            total += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+        for value in batch.column(0):
+            found = grams((value.as_py() or "").encode())
+            parts += found
+            waiting += len(found[0])
+            if waiting > 1 << 18:
+                total += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                parts, waiting = [], 0
+    if parts:
+        total += np.bincount(np.concatenate(parts), minlength=BUCKETS)
     there = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["bucket", "n"])
 
@@ -78,17 +94,26 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 @dataclass
 class Model:
-    """log_ratio by bucket; scale and shift turn the two mean ratios into log-odds."""
+    """log_ratio: by bucket, target over raw; of contexts with the sign turned, as they divide."""
 
     log_ratio: np.ndarray
-    scale: np.ndarray
-    shift: float
-
-    def features(self, text: bytes) -> np.ndarray:
-        return np.array([self.log_ratio[g].sum() / (len(g) + PRIOR) for g in grams(text)])
 
     def log_weight(self, text: bytes) -> float:
-        return float(self.features(text) @ self.scale + self.shift)
+        three, two, pairs = grams(text)
+        letters = (self.log_ratio[three].sum() + self.log_ratio[two].sum()) / (len(three) + PRIOR)
+        words = self.log_ratio[pairs].sum() / (WORD_GRAMS * len(pairs) + PRIOR)
+        return float(REFERENCE * (letters + words))
+
+
+def fit(raw: np.ndarray, target: np.ndarray) -> Model:
+    """The ratio of the two models, from their counts; without target text every log weight is 0."""
+    ratio = np.zeros(BUCKETS)
+    if not target.any():
+        return Model(ratio)
+    for start, stop, by, smooth in ((0, TRIGRAMS, 1, SMOOTH), (TRIGRAMS, TRIGRAMS + CONTEXTS, -1, 4 * SMOOTH), (TRIGRAMS + CONTEXTS, BUCKETS, 1, 1)):
+        p, q = target[start:stop] + smooth, raw[start:stop] + smooth
+        ratio[start:stop] = by * (np.log(p / p.sum()) - np.log(q / q.sum()))
+    return Model(ratio)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, balance: bool = True) -> tuple[np.ndarray, float]:
@@ -110,33 +135,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, balance: bool =
     return beta[:-1] / wide, float(beta[-1] - (beta[:-1] * mid / wide).sum())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """(text, label) of at most most[class] labelled rows of a class, chosen by a hash of the id."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _text, _y): at most most[class] labelled rows of a class, chosen by a hash of the id; one row of each id."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_y"))
     picked = None
     for y in (0, 1):
         some = known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most[y])
         picked = some if picked is None else picked.union(some)
-    short = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS)
-    rows = short.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(picked), id_col).select(id_col, "_text", "_y")
-    found = sorted({(r[0], r[1] or "", r[2]) for r in rows.collect()})
-    return [(text.encode(), y) for _, text, y in found]
-
-
-def fit(raw: np.ndarray, sample: list[tuple[bytes, int]]) -> Model:
-    """The models from raw counts and labelled texts; without both classes every log weight is 0."""
-    good = [t for t, y in sample if y == 1]
-    if not good or len(good) == len(sample):
-        return Model(np.zeros(BUCKETS), np.zeros(2), 0.0)
-    target = count_grams(good)
-    ratio = np.zeros(BUCKETS)
-    for part in (slice(0, TRIGRAMS), slice(TRIGRAMS, BUCKETS)):
-        p, q = target[part] + SMOOTH, raw[part] + SMOOTH
-        ratio[part] = np.log(p / p.sum()) - np.log(q / q.sum())
-    model = Model(ratio, np.zeros(2), 0.0)
-    x = np.array([model.features(t) for t, _ in sample])
-    model.scale, model.shift = logistic(x, np.array([y for _, y in sample]))
-    return model
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col), text.alias("_text")).join(F.broadcast(picked), id_col)
+    return rows.groupBy(F.col(id_col).alias("_id"), "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_id", "_text", "_y")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
+    """(text, label) of the labelled rows, in order of id; of each class only while those before, by hash, have under SAMPLE_BYTES."""
+    rows = labelled_rows(docs, labels, label, most, id_col, text_col)
+    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)  # most[class] rows
+    before = F.coalesce(F.sum(F.octet_length("_text").cast("long")).over(order), F.lit(0))
+    found = rows.withColumn("_before", before).where(F.col("_before") < SAMPLE_BYTES).select("_id", "_text", "_y").collect()
+    return [(r[1].encode(), r[2]) for r in sorted(found)]
 
 
 def gumbel(key: str, seed: int = SEED) -> float:
@@ -149,7 +166,7 @@ def perturbed(model: Model, row_id, text: str | None) -> tuple[float, float]:
     """Log weight and perturbed log weight of a row. Equal rows have equal noise."""
     raw = (text or "").encode()
     weight = model.log_weight(raw)
-    return weight, weight / TEMPERATURE + gumbel(f"{row_id}:{zlib.crc32(raw)}")
+    return weight, weight + gumbel(f"{row_id}:{zlib.crc32(raw)}")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
@@ -201,21 +218,31 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit(corpus_counts(docs, text_col), labelled_sample(docs, labels, "quality", SAMPLE, id_col, text_col))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, float | None]:
+    """The model, and the log weight of the lightest target document set aside; None without target documents."""
+    target = materialize(labelled_rows(docs, labels, "quality", {0: 0, 1: TARGET_ROWS}, id_col, text_col), "resampling-target")
+    aside = F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(ASIDE)) == 0
+    model = fit(corpus_counts(docs, text_col), corpus_counts(target.where(~aside), "_text"))
+    if not model.log_ratio.any():
+        return model, None
+    lightest = lambda rows: scores(rows, model, "_id", "_text").agg(F.min("log_weight")).first()[0]
+    least = lightest(target.where(aside))
+    return model, lightest(target) if least is None else least
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model, float | None]:
     """(id_col, log_weight, key, kept) for every row, the model, and the least kept key.
 
-    k: rows to keep; by default as many as have a positive log weight (all, if no scale
-    could be fitted). Null texts count as empty. Rows equal in id and text share their
-    noise and stay or go together; so do rows whose keys tie with the k-th.
+    k: rows to keep; by default as many as weigh no less than the lightest target document
+    set aside (all, without target documents). Null texts count as empty; a text without
+    n-grams has log weight 0. Rows equal in id and text share their noise and stay or go
+    together; so do rows whose keys tie with the k-th. Other columns are ignored; an empty
+    table gives no rows. Labels of ids that docs lacks, and null labels, count for nothing.
     """
-    model = train(docs, labels, id_col, text_col)
+    model, lightest = train(docs, labels, id_col, text_col)
     made = materialize(scores(docs, model, id_col, text_col), "resampling-scores")
     if k is None:
-        k = made.where("log_weight >= 0").count()
+        k = made.count() if lightest is None else made.where(F.col("log_weight") >= F.lit(lightest)).count()
     least = kth_largest(made, "key", k)
     kept = F.lit(False) if least is None else F.col("key") >= F.lit(least)
     return made.withColumn("kept", kept), model, least

@@ -19,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ WINDOW, STRIDE = 24, 12
 #: Labelled rows of each class that the network is fitted on, at most.
 SAMPLE = {0: 4500, 1: 1500}
 ROUNDS, EPOCHS, BATCH = 4, 2, 256
+#: Bytes of a word at most.
+LONGEST = 64
 #: Words whose input a Python worker keeps, and strides of words that are run at once.
 TABLE, CHUNK = 1 << 18, 4096
 SEED = 8
@@ -40,7 +43,11 @@ CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(CLEAN).split()
+    """Words; of a longer run than LONGEST bytes, consecutive pieces of it."""
+    words = text.translate(CLEAN).split()
+    if max(map(len, words), default=0) > LONGEST:
+        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
 
 
 def word_id(word: bytes) -> int:
@@ -49,7 +56,7 @@ def word_id(word: bytes) -> int:
 
 def gram_ids(word: bytes) -> list[int]:
     """Hashed beginnings of 2 to 6 bytes and all runs of 4 bytes of the word between its edges."""
-    w = b"<" + word[:64] + b">"
+    w = b"<" + word + b">"
     crc = zlib.crc32
     return [crc(w[:n], 1) & (GRAMS - 1) for n in range(3, min(8, len(w) + 1))] + [crc(w[i : i + 4], 2) & (GRAMS - 1) for i in range(len(w) - 3)]
 
@@ -82,6 +89,7 @@ class Network:
     base: np.ndarray  # 1
     scale: float = 1.0
     shift: float = 0.0
+    digest: str = ""  # of all weights, once they are final
 
     @staticmethod
     def fresh(rng: np.random.Generator) -> Network:
@@ -236,8 +244,11 @@ def fit_windows(net: Network, corpus: Corpus, windows: np.ndarray, y: np.ndarray
             getattr(net, name)[rows] -= 0.02 * total / np.sqrt(square[rows])
 
 
-def train(sample: list[tuple[bytes, int]], seed: int = SEED) -> Network | None:
-    """A network fitted on labelled texts; None without both classes."""
+def train(sample: list[tuple[bytes, int]], seed: int = SEED, hints: bool = True) -> Network | None:
+    """A network fitted on labelled texts; None without both classes.
+
+    hints: whether embeddings begin at the log-odds of words and n-grams, or at random.
+    """
     y = np.array([label for _, label in sample], dtype=np.int64)
     if len(y) < 2 or y.min() == y.max():
         return None
@@ -251,8 +262,9 @@ def train(sample: list[tuple[bytes, int]], seed: int = SEED) -> Network | None:
     corpus = Corpus([sample[i][0] for i in learn])
     label = y[learn]
     by_word, by_gram = log_odds(corpus, label)
-    net.word[:, 0] = by_word / 2
-    net.gram[:, 1] = by_gram / 4
+    if hints:
+        net.word[:, 0] = by_word / 2
+        net.gram[:, 1] = by_gram / 4
     every = np.arange(corpus.blank + 1)
     hint = by_word[corpus.ids] + corpus.summed(by_gram[:, None], every)[:, 0] / 2
     hint[corpus.blank] = -9
@@ -277,6 +289,8 @@ def train(sample: list[tuple[bytes, int]], seed: int = SEED) -> Network | None:
     top = np.array([x.max() for x in Scorer(net).window_logits([sample[i][0] for i in held])])
     scale, net.shift = logistic(top[:, None], y[held], balance=False)
     net.scale = float(max(scale[0], 1e-3))
+    numbers = [net.word, net.gram, *net.dense().values(), np.array([net.scale, net.shift])]
+    net.digest = xxhash.xxh3_128_hexdigest(b"".join(np.ascontiguousarray(x).tobytes() for x in numbers))
     return net
 
 
@@ -410,17 +424,17 @@ def score_texts(net_of, texts: list[str | None]) -> np.ndarray:
     return net_of.scores([(t or "").encode() for t in texts])
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def scorer_of(block) -> Scorer | None:
     """One scorer for each broadcast network and Python worker."""
     if block.value is None:
         return None
-    if block.value.base[0] not in _SCORERS:
+    if block.value.digest not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[block.value.base[0]] = Scorer(block.value)
-    return _SCORERS[block.value.base[0]]
+        _SCORERS[block.value.digest] = Scorer(block.value)
+    return _SCORERS[block.value.digest]
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
