@@ -6,17 +6,18 @@ A template is text with three marks:
     {{name:n}}   a replaceable region, 0 to n words of any kind
     the rest     mandatory wording, word for word
 
-A template compiles into a nondeterministic automaton over words. It accepts a text
-that holds, from some word on, the mandatory wording exactly. Words are what the scan
-calls words, so case, punctuation, line breaks and markup do not count.
+A template compiles into a nondeterministic automaton over words. Words are what the scan
+calls words, so case, punctuation, line breaks and markup do not count inside a match. A
+match begins where the text or a sentence or line begins, and ends where one ends: wording
+that goes on ("... Version 2.0 for schools only") is no match. Bodies are whole licenses,
+with all their conditions and disclaimers; notices are sentences or headers that name one.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +28,24 @@ from loomgraph.session import ship_package
 # Base phrases and their labels, and wording of public licenses.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license [[as published at {{where:6}}]] version 2.0",
-    "cc-by-nc-4.0-notice": "licensed under [[the]] [[creative commons]] [[a]] cc by nc 4.0 [[international]] [[license]]",
-    "gpl-3.0-notice": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 3",
-    "mit-notice": "released under the [[{{kind:2}}]] mit license",
+NOTICES = {
+    "apache-2.0-notice": "[[{{what:6}} is]] licensed under the apache license [[as published at {{where:6}}]] version 2.0",
+    "apache-2.0-header": """licensed under the apache license version 2.0 the license you may not use this file except in
+        compliance with the license you may obtain a copy of the license at [[http]] [[https]] www.apache.org licenses
+        license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is
+        distributed on an as is basis without warranties or conditions of any kind either express or implied see the
+        license for the specific language governing permissions and limitations under the license""",
+    "cc-by-nc-4.0-notice": "[[{{what:6}} is]] licensed under [[the]] [[creative commons]] [[a]] cc by nc 4.0 [[international]] [[license]]",
+    "gpl-3.0-notice": """[[{{what:6}} is]] licensed under the [[terms of the]] gnu general public license
+        [[as published by the free software foundation [[either]]]] version 3 [[or [[at your option]] [[any]] later [[version]]]]""",
+    "gpl-3.0-header": """[[this {{what:6}} is free software]] you can redistribute it and or modify it under the terms of the gnu
+        general public license as published by the free software foundation either version 3 of the license or at your
+        option any later version""",
+    "mit-notice": "[[{{what:6}} is]] released under the [[{{kind:2}}]] mit license",
     "all-rights-reserved": "[[copyright [[c]] {{holder:12}}]] all rights reserved",
+}
+
+BODIES = {
     "mit": """permission is hereby granted free of charge to any person obtaining a copy of this software and
         associated documentation files the software to deal in the software without restriction including without
         limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
@@ -46,21 +59,48 @@ TEMPLATES = {
     "isc": """permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is
         hereby granted provided that the above copyright notice and this permission notice appear in all copies
         the software is provided as is and {{holders:12}} disclaims all warranties with regard to this software
-        including all implied warranties of merchantability and fitness""",
+        including all implied warranties of merchantability and fitness in no event shall {{holders:12}} be liable for
+        any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data
+        or profits whether in an action of contract negligence or other tortious action arising out of or in connection
+        with the use or performance of this software""",
     "bsd": """redistribution and use in source and binary forms with or without modification are permitted provided that
         the following conditions are met [[1]] redistributions of source code must retain the above copyright notice
         this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the
         above copyright notice this list of conditions and the following disclaimer in the documentation and or other
-        materials provided with the distribution""",
-    "zlib": """this software is provided as is without any express or implied warranty in no event will the authors be
+        materials provided with the distribution [[[[3]] neither the name of {{holder:12}} nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission]] this software is provided by {{holders:12}} as is and any express or implied warranties
+        including but not limited to the implied warranties of merchantability and fitness for a particular purpose are
+        disclaimed in no event shall {{holders:12}} be liable for any direct indirect incidental special exemplary or
+        consequential damages including but not limited to procurement of substitute goods or services loss of use data
+        or profits or business interruption however caused and on any theory of liability whether in contract strict
+        liability or tort including negligence or otherwise arising in any way out of the use of this software even if
+        advised of the possibility of such damage""",
+    "zlib": """this software is provided as is without any express or implied warranty in no event will {{authors:12}} be
         held liable for any damages arising from the use of this software permission is granted to anyone to use this
-        software for any purpose including commercial applications and to alter it and redistribute it freely""",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+        software for any purpose including commercial applications and to alter it and redistribute it freely subject to
+        the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that
+        you wrote the original software if you use this software in a product an acknowledgment in the product
+        documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as
+        such and must not be misrepresented as being the original software [[3]] this notice may not be removed or
+        altered from any source distribution""",
+    "unlicense": """this is free and unencumbered software released into the public domain anyone is free to copy modify
+        publish use compile sell or distribute this software either in source code form or as a compiled binary for any
+        purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author
+        or authors of this software dedicate any and all copyright interest in the software to the public domain we make
+        this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend
+        this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+        software under copyright law the software is provided as is without warranty of any kind express or implied
+        including but not limited to the warranties of merchantability fitness for a particular purpose and
+        noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an
+        action of contract tort or otherwise arising from out of or in connection with the software or the use or other
+        dealings in the software""",
 }
 
-#: ASCII bytes other than digits and letters become blanks, A-Z become a-z.
+#: Bytes that end a sentence or a line become line breaks, other ASCII bytes than digits and letters blanks, A-Z become a-z.
+STOPS = b"\n\r.;!?"
 TABLE = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
+    10 if c in STOPS else c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 MARKS = re.compile(rb"\[\[|\]\]|\{\{\w+:(\d+)\}\}")
 
@@ -69,6 +109,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
+def stops_of(text: bytes) -> list[int]:
+    """Numbers of the words that begin a sentence or a line, and the number of words."""
+    out, at = [0], 0
+    for part in text.translate(TABLE).split(b"\n"):
+        if n := len(part.split()):
+            at += n
+            out.append(at)
+    return out
+
+
 @dataclass
 class Node:
     """A parsed region: words, gaps (an int, the most words) and optional sub-regions."""
@@ -108,8 +158,8 @@ class Automaton:
         self.start = self._close({0})
         if self.final in self.start:
             raise ValueError("a template needs mandatory words")
-        #: Words that a match can begin with; empty if it can begin with any.
-        self.first = set() if any(self.free[s] for s in self.start) else {w for s in self.start for w in self.word[s]}
+        #: Words that every match has.
+        self.needed = frozenset(p for p in parse(template).parts if isinstance(p, bytes))
 
     def _state(self) -> int:
         for edges, new in ((self.word, {}), (self.free, []), (self.skip, [])):
@@ -146,117 +196,131 @@ class Automaton:
                     todo.append(t)
         return frozenset(found)
 
-    def matches(self, words: list[bytes], at: int) -> bool:
-        """Whether some words from place `at` on are accepted."""
+    def matches(self, words: list[bytes], at: int, ends: Container[int] | None = None) -> bool:
+        """Whether some words from place `at` on are accepted that end before a place in `ends` (None: any)."""
         states = self.start
-        for word in islice(words, at, None) if at < 64 else (words[i] for i in range(at, len(words))):
+        for i in range(at, len(words)):
+            word = words[i]
             moved = {t for s in states for t in self.free[s]} | {t for s in states if (t := self.word[s].get(word)) is not None}
             if not moved:
                 return False
             states = self._close(moved)
-            if self.final in states:
+            if self.final in states and (ends is None or i + 1 in ends):
                 return True
         return False
 
 
-def pattern(template: str) -> str:
-    """The template as a regular expression over words that each follow a blank."""
-
-    def render(node: Node) -> str:
-        return "".join(
-            f"(?:{render(p)})?" if isinstance(p, Node) else f"(?: [^ ]+){{0,{p}}}" if isinstance(p, int) else " " + p.decode()
-            for p in node.parts
-        )
-
-    return render(parse(template)) + " "
-
-
 class Scanner:
-    """All phrases and templates at once; finds where a match can begin before it runs an automaton."""
+    """All phrases and templates at once; an automaton runs only over texts that have all its mandatory words."""
 
-    def __init__(self, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None):
+    def __init__(self, phrases: dict[str, str] | None = None, bodies: dict[str, str] | None = None, notices: dict[str, str] | None = None):
         self.phrases = [(p.encode().split(), label) for p, label in (PHRASES if phrases is None else phrases).items()]
-        self.automata = {k: Automaton(t) for k, t in (TEMPLATES if templates is None else templates).items()}
-        first = {w for p, _ in self.phrases for w in p[:1]} | {w for a in self.automata.values() for w in a.first}
-        self.open = any(not a.first for a in self.automata.values())
-        self.begins = first
+        self.kinds = [{k: Automaton(t) for k, t in x.items()} for x in (BODIES if bodies is None else bodies, NOTICES if notices is None else notices)]
+        self.begins = {p[0] for p, _ in self.phrases}
 
     def scan(self, text: bytes) -> dict:
         words = words_of(text)
+        there = set(words)
         places: list[int] = []
-        base, labels = set(), set()
-        if self.open:
-            at = range(len(words))
-        elif self.begins.isdisjoint(words):
-            at = ()
-        else:
-            at = [i for i, w in enumerate(words) if w in self.begins]
-        for i in at:
-            for phrase, label in self.phrases:
-                if words[i] == phrase[0] and words[i : i + len(phrase)] == phrase:
-                    places.append(i)
-                    base.add(label)
-            for label, automaton in self.automata.items():
-                if label not in labels and (not automaton.first or words[i] in automaton.first) and automaton.matches(words, i):
-                    labels.add(label)
+        base: set[str] = set()
+        if not self.begins.isdisjoint(there):
+            for i, word in enumerate(words):
+                if word in self.begins:
+                    for phrase, label in self.phrases:
+                        if word == phrase[0] and words[i : i + len(phrase)] == phrase:
+                            places.append(i)
+                            base.add(label)
+        found: list[set[str]] = []
+        stops: list[int] = []
+        for automata in self.kinds:
+            found.append(set())
+            for label, automaton in automata.items():
+                if automaton.needed <= there:
+                    stops = stops or stops_of(text)
+                    ends = set(stops)
+                    if any(automaton.matches(words, i, ends) for i in stops[:-1]):
+                        found[-1].add(label)
+        bodies, notices = found
         return {
             "n_words": len(words),
             "n_base": len(places),
             "first_word": min(places, default=None),
             "last_word": max(places, default=None),
             "base_labels": ",".join(sorted(base)),
-            "labels": ",".join(sorted(base | labels)),
-            "score": 1.0 if labels else 0.5 if base else 0.0,
+            "labels": ",".join(sorted(base | bodies | notices)),
+            "score": 1.0 if bodies else 0.75 if notices else 0.5 if base else 0.0,
+            "bodies": ",".join(sorted(bodies)),
+            "notices": ",".join(sorted(notices)),
         }
 
 
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, bodies string, notices string"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, bodies: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """One row per row of docs: id_col, word count, base phrase places, labels and score.
 
-    score is 1 if a template accepts the text, 0.5 if only base phrases occur, else 0.
-    Null texts count as empty: no words, no labels, score 0. Repeated rows come back
-    repeated; other columns are ignored.
+    score is 1 if a body (a whole license) is accepted, 0.75 if a notice is, 0.5 if only base
+    phrases occur, else 0. Null texts count as empty: no words, no labels, score 0. Repeated
+    rows come back repeated; other columns are ignored.
     """
     ship_package(docs.sparkSession)
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    fields = [f.split() for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, templates)
+        scanner = Scanner(phrases, bodies, notices)
         for batch in batches:
             found = [scanner.scan((t.as_py() or "").encode()) for t in batch.column(1)]
-            columns = {"id": batch.column(0)} | {
-                c.split()[0]: pa.array([f[c.split()[0]] for f in found], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]])
-                for c in SCHEMA.split(", ")
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            arrays = [pa.array([f[name] for f in found], kinds[kind]) for name, kind in fields]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *(name for name, _ in fields)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {SCHEMA}")
     return out.withColumnRenamed("id", id_col)
 
 
-def oracle(phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> str:
-    """DuckDB SQL for the same rows over `documents`."""
-    phrases, templates = phrases or PHRASES, templates or TEMPLATES
-    base = ", ".join(
-        f"list_transform(list_filter(range(len(w)), lambda i: {' and '.join(f'w[i + {k + 1}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split()))}), lambda i: struct_pack(at := i, label := '{label}'))"
-        for p, label in phrases.items()
-    )
-    method = ", ".join(f"case when regexp_matches(t, '{pattern(x)}') then '{k}' end" for k, x in templates.items())
-    return f"""
-        with split as (
-            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
-            from documents
-        ), found as (
-            select doc_id, len(w) as n_words, list_concat({base}) as b,
-                   list_filter([{method}], lambda x: x is not null) as m
-            from (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as t from split)
+def oracle() -> str:
+    """DuckDB SQL for the same rows over `documents`.
+
+    SQL itself turns the wording of each template into a regular expression; the automata
+    have no part in it. In the text that is matched, S stands where a sentence or line ends.
+    """
+    values = ", ".join(f"('{kind}', '{label}', '{' '.join(t.split())}')" for kind, group in (("body", BODIES), ("notice", NOTICES)) for label, t in group.items())
+    phrase = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
+    return rf"""
+        with template(kind, label, source) as (values {values}),
+        phrase(words, label) as (values {phrase}),
+        mark as (
+            select kind, label, list_filter(string_split(regexp_replace(replace(replace(replace(source, '.', ' '), '[[', ' [ '), ']]', ' ] '), '\{{\{{\w+:(\d+)\}}\}}', ' #\1 ', 'g'), ' '), lambda x: x <> '') as parts
+            from template
+        ), pattern as (
+            select kind, label, ' S' || array_to_string(list_transform(parts, lambda x: case
+                when x = '[' then '(?:' when x = ']' then ')?' when starts_with(x, '#') then '(?:(?: S)? [^ S]+){{0,' || substr(x, 2) || '}}'
+                else '(?: S)? ' || x end), '') || ' S' as regex
+            from mark
+        ), clean as (
+            select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents
+        ), split as (
+            select row_number() over () as r, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w,
+                   regexp_replace(' S ' || regexp_replace(regexp_replace(regexp_replace(low, '[\n\r.;!?]', 'S', 'g'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]*S[\x00-\x2F\x3A-\x60\x7B-\x7F]*', ' S ', 'g'),
+                                                          '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g') || ' S ', ' [ S]*S ', ' S ', 'g') as t
+            from clean
+        ), base as (
+            select r, count(*) as n, min(i) as lo, max(i) as hi, string_agg(distinct label, ',' order by label) as names
+            from (select r, label, unnest(list_filter(range(len(w)), lambda i: list_slice(w, i + 1, i + len(string_split(words, ' '))) = string_split(words, ' '))) as i
+                  from split join phrase on contains(' ' || array_to_string(w, ' ') || ' ', ' ' || words || ' '))
+            group by r
+        ), method as (
+            select r, kind, label from split join pattern on regexp_matches(t, regex)
+        ), named as (
+            select r, string_agg(label, ',' order by label) filter (kind = 'body') as bodies, string_agg(label, ',' order by label) filter (kind = 'notice') as notices from method group by r
+        ), every as (
+            select r, string_agg(distinct label, ',' order by label) as labels
+            from (select r, label from method union all select r, unnest(string_split(names, ',')) from base) group by r
         )
-        select doc_id, n_words, len(b) as n_base,
-               list_min(list_transform(b, lambda x: x.at)) as first_word, list_max(list_transform(b, lambda x: x.at)) as last_word,
-               coalesce(array_to_string(list_sort(list_distinct(list_transform(b, lambda x: x.label))), ','), '') as base_labels,
-               coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(b, lambda x: x.label), m))), ','), '') as labels,
-               case when len(m) > 0 then 1.0 when len(b) > 0 then 0.5 else 0.0 end::double as score
-        from found"""
+        select doc_id, len(w) as n_words, coalesce(n, 0) as n_base, lo as first_word, hi as last_word,
+               coalesce(names, '') as base_labels, coalesce(labels, '') as labels,
+               case when bodies is not null then 1.0 when notices is not null then 0.75 when n > 0 then 0.5 else 0.0 end::double as score,
+               coalesce(bodies, '') as bodies, coalesce(notices, '') as notices
+        from split left join base using (r) left join named using (r) left join every using (r)"""
