@@ -11,7 +11,6 @@ within (length, salt) by a window, across salts by the counts before.
 
 from __future__ import annotations
 
-import base64
 import bisect
 import math
 import os
@@ -42,37 +41,37 @@ class WordCachedTokenizer:
 
     The byte-level pre-tokenizer never joins what stands on both sides of a blank that
     follows no other blank, so such a text's ids are those of its first word and of each
-    other word with its blank. Texts with two blanks in a row are encoded in one go.
-
-    Given the same vocabulary as ranks, words not met before go through `tiktoken`, which
-    merges the same pairs faster, if the two libraries cannot differ on them: no special
-    token's mark, and letters only of blocks whose classes all Unicode versions share.
+    other word with its blank. Words not met before are encoded in one text, and cut apart
+    where a token begins with a blank. Texts with two blanks in a row, and words that hold
+    one of the file's added tokens, are encoded on their own.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
-        self.merge = None
-        if ranks:
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.merge = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = piece.startswith(blank)
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words with a blank before them."""
-        plain = [w for w in words if self.merge and "<" not in w and (w.isascii() or max(w) < "\u0250")]
-        out = {w: np.array(self.merge(" " + w), "<u4").tobytes() for w in plain}
+        plain = [w for w in words if w and not any(t in w for t in self.added)]
+        out: dict[str, bytes] = {}
+        if plain:
+            (raw,) = self._raw([" " + " ".join(plain)])
+            ends = np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]).tolist()
+            if len(ends) == len(plain) and ends[0] == 0:
+                out = {w: raw[4 * a : 4 * b] for w, (a, b) in zip(plain, pairwise([*ends, len(raw) // 4]))}
         rest = [w for w in words if w not in out]
         return out | dict(zip(rest, self._raw([" " + w for w in rest])))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -102,10 +101,10 @@ class WordCachedTokenizer:
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
 
 
-def tokenizer(path: str, ranks: str | None = None) -> WordCachedTokenizer:
+def tokenizer(path: str) -> WordCachedTokenizer:
     """One tokenizer for each Python worker."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordCachedTokenizer(path, ranks)
+        _TOKENIZERS[path] = WordCachedTokenizer(path)
     return _TOKENIZERS[path]
 
 
@@ -114,13 +113,13 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, ranks_path: str | None = None) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row (id, piece, start, length, ids_crc32[, ids]) per piece of each document."""
     ship_package(docs.sparkSession)
     fields = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path, ranks_path).encode
+        encode = tokenizer(tokenizer_path).encode
         for batch in batches:
             rows, columns = [], ([], [], [], [], [])
             for at, raw in enumerate(encode([t.as_py() or "" for t in batch.column(1)])):
@@ -176,6 +175,10 @@ class Plan:
                 break
         return out
 
+    def _alike(self, sizes: tuple[int, ...]) -> int:
+        """How often a set can be fixed at least before the choice could be another: while four pieces of each length are left."""
+        return max(1, min((self.left[w] - 4) // sizes.count(w) for w in sizes))
+
     def _reduce(self) -> None:
         """Fix every set that dominates all other sets with its largest piece.
 
@@ -209,12 +212,12 @@ class Plan:
                     if b >= a:
                         pairs.append((a, b))
                 if all(a + b <= k for a, b in pairs):
-                    self._fix((j, k), 1)
+                    self._fix((j, k), self._alike((j, k)))
                     continue
                 best = next(((a, b) for a, b in pairs if b == k and all((c <= a and d <= b) or c + d <= b for c, d in pairs)), None)
                 if best is None:
                     break
-                self._fix((j, best[1], best[0]), 1)
+                self._fix((j, best[1], best[0]), self._alike((j, *best)))
 
     def _best_fit(self) -> None:
         """Best-fit decreasing; sequences with equal room are kept as ranges of their numbers."""
@@ -286,14 +289,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...
     return numbered.mapInArrow(place(plan.runs), schema).drop("_number")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, ranks_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
     Each document is its ids and a closing id 0; null and empty texts are that id alone.
     Only documents over the capacity are cut. Repeated rows are packed each. Other
     columns are ignored; an empty table gives no rows.
     """
-    pieces = materialize(cut_pieces(docs, tokenizer_path, id_col, text_col, capacity, with_ids, ranks_path), "packing-pieces")
+    pieces = materialize(cut_pieces(docs, tokenizer_path, id_col, text_col, capacity, with_ids), "packing-pieces")
     packed = pack_pieces(pieces, capacity)
     names = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     return packed.select(F.col("id").alias(id_col), *names)
