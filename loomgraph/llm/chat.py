@@ -7,8 +7,9 @@ empty turns, and the repaired sequence is rendered.
 
 Conversations may be long. The table is cut by (conversation, turn) into ranges that fit
 in memory, so a long one is cut too. For a cut piece the costs from every state to every
-state are found (a min-plus matrix); chained over the few cut pieces they fix the states
-at the cuts, and each piece is then repaired on its own.
+state are found (a min-plus matrix); chained over a conversation's cut pieces (16 numbers
+for some megabytes of turns) they fix the states at the cuts, and each piece is then
+repaired on its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.session import materialize, ship_package
 
@@ -153,29 +155,33 @@ def edge_batches(kind: pa.DataType):
     return run
 
 
-def chain(edges: list[tuple[int, object, list[float]]]) -> dict[tuple, tuple[int, int, int | None]]:
-    """(part, id) to (number of the piece, state at its start, state at its end or None for the last) of cut conversations."""
-    out = {}
-    edges = sorted(edges, key=lambda e: (e[1] is not None, e[1] if e[1] is not None else 0, e[0]))
-    for row_id, group in groupby(edges, key=lambda e: e[1]):
-        pieces = list(group)
-        if len(pieces) < 2:
-            continue
-        best, back = {START: 0.0}, []
-        for _, _, matrix in pieces:
-            step = {}
-            for s, c in best.items():
-                for t in range(4):
-                    if c + matrix[4 * s + t] < step.get(t, (NEVER,))[0]:
-                        step[t] = (c + matrix[4 * s + t], s)
-            back.append(step)
-            best = {t: c for t, (c, _) in step.items()}
-        state = min(best, key=lambda s: (best[s] + ENDS[s][0], s))
-        for number in range(len(pieces) - 1, -1, -1):
-            before = back[number][state][1]
-            out[pieces[number][0], row_id] = (number, before, None if number == len(pieces) - 1 else state)
-            state = before
-    return out
+def chain(matrices: list[list[float]]) -> list[tuple[int, int | None]]:
+    """Of the pieces of one conversation: the state at its start, and at its end (None for the last)."""
+    best, back = {START: 0.0}, []
+    for matrix in matrices:
+        step: dict[int, tuple[float, int]] = {}
+        for s, c in best.items():
+            for t in range(4):
+                if c + matrix[4 * s + t] < step.get(t, (NEVER,))[0]:
+                    step[t] = (c + matrix[4 * s + t], s)
+        back.append(step)
+        best = {t: c for t, (c, _) in step.items()}
+    state = min(best, key=lambda s: (best[s] + ENDS[s][0], s))
+    out: list[tuple[int, int | None]] = []
+    leave: int | None = None
+    for step in reversed(back):
+        before = step[state][1]
+        out.append((before, leave))
+        state = leave = before
+    return out[::-1]
+
+
+def chain_groups(table: pa.Table) -> pa.Table:
+    """(part, id, number, entry, leave) of one cut conversation's pieces."""
+    table = table.sort_by("part")
+    ways = chain(table.column("matrix").to_pylist())
+    columns = [pa.array(range(len(ways)), pa.int32()), *(pa.array([w[i] for w in ways], pa.int32()) for i in (0, 1))]
+    return pa.Table.from_arrays([table.column("part"), table.column("id"), *columns], names=["part", "id", "number", "entry", "leave"])
 
 
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -185,39 +191,53 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     order is the whole, and their costs add up. Turns go by number, then role and text;
     nulls come first. A null role or one of no known name must be relabelled, a null
     text is empty, and rows with a null id make one conversation. Repeated turns count
-    each. Other columns are ignored; an empty table gives no rows.
+    each. Ids may be of any type with an order. Other columns are ignored; an empty table
+    gives no rows.
     """
     spark = turns.sparkSession
     ship_package(spark)
     size = turns.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0
     parts = max(LEAST_PARTS, math.ceil(size / PART_BYTES))
     row = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    cut = materialize(row.repartitionByRange(parts, "id", "turn", "role", "text").select(F.spark_partition_id().alias("part"), "*"), "chat-parts")
-    sort = cut.repartition(parts, "part").sortWithinPartitions("part", "id", "turn", "role", "text")
+    row = row.withColumn("salt", F.xxhash64(F.spark_partition_id()))  # rows equal in all else may be cut too
+    cut = materialize(row.repartitionByRange(parts, "id", "turn", "role", "text", "salt").select(F.spark_partition_id().alias("part"), "id", "turn", "role", "text"), "chat-parts")
     kind = cut.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    edges = sort.mapInArrow(edge_batches(arrow), f"part int, id {kind}, matrix array<double>").collect()  # two rows a part at most
-    fixed = chain([tuple(e) for e in edges])
+    arrow = to_arrow_type(cut.schema["id"].dataType)
+    edges = cut.repartition(parts, "part").sortWithinPartitions("part", "id", "turn", "role", "text").mapInArrow(edge_batches(arrow), f"part int, id {kind}, matrix array<double>")
+    edges = materialize(edges, "chat-edges")  # two small rows a part at most
+    again = edges.groupBy("id").count().where("count > 1").select(F.col("id").alias("cut_id"))
+    fixed = edges.join(again, F.col("id").eqNullSafe(F.col("cut_id")), "left_semi").groupBy("id").applyInArrow(chain_groups, f"part int, id {kind}, number int, entry int, leave int")
+
+    # what is fixed about a cut piece goes before its turns
+    none = F.lit(None).cast("int")
+    rows = cut.select("part", "id", F.lit(1).alias("is_turn"), "turn", "role", "text", none.alias("number"), none.alias("entry"), none.alias("leave"))
+    blank = [F.lit(None).cast(cut.schema[c].dataType).alias(c) for c in ("turn", "role", "text")]
+    heads = fixed.select("part", "id", F.lit(0).alias("is_turn"), *blank, "number", "entry", "leave")
+    sort = rows.unionByName(heads).repartition(parts, "part").sortWithinPartitions("part", "id", "is_turn", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple] = []
+        kinds = (arrow, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*made)) or [()] * 7
-            kinds = (arrow, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "piece", "n_turns", "n_out", "cost", "ops", "rendered"])
             made.clear()
             return out
 
-        for key, rows in pieces_of(batches):
-            number, entry, leave = fixed.get(key, (0, START, None))
-            price, how, states = repair([role_number(r[3]) for r in rows], entry, leave)
-            text, begun = render([r[4] for r in rows], how, states, entry, leave is None, states[-1])
+        waiting = 0
+        for key, turns in pieces_of(batches):
+            number, entry, leave = turns[0][6:9] if turns[0][2] == 0 else (0, START, None)
+            own = turns[1:] if turns[0][2] == 0 else turns
+            price, how, states = repair([role_number(r[4]) for r in own], entry, leave)
+            text, begun = render([r[5] for r in own], how, states, entry, leave is None, states[-1])
             if leave is None and ENDS[states[-1]][1]:
                 how = [*how, ENDS[states[-1]][1]]
-            made.append((key[1], number, len(rows), begun, int(price), ",".join(how), text))
-            if len(made) >= 256:
+            made.append((key[1], number, len(own), begun, int(price), ",".join(how), text))
+            waiting += len(text)
+            if len(made) >= 256 or waiting > PART_BYTES:
                 yield batch()
+                waiting = 0
         yield batch()
 
     out = sort.mapInArrow(run, f"id {kind}, piece int, n_turns long, n_out long, cost long, ops string, rendered string")

@@ -14,6 +14,7 @@ Queries go in blocks of a fixed size, each broadcast to one pass over the vector
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.session import materialize, ship_package
+from loomgraph.session import materialize, scratch_root, ship_package
 
 SCALE = 1024
 #: Queries in a block, longest vectors that give each query its first threshold, and coordinates of the partial sums.
 QUERY_BLOCK, HEAD, LEADING = 16_384, 4_096, 16
+#: Rows of a range of lengths.
+RANGE_ROWS = 20_000
 #: Candidates scored at once against a block of queries, and queries at once.
 STEP, QUERY_STEP = 512, 1024
 
@@ -153,18 +156,20 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id"
     spark = vectors.sparkSession
     ship_package(spark)
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-    table = materialize(quantize(vectors, id_col, vector_col).where("id is not null"), "topk-vectors")
+    # a last key for the ranges, so that no group of equal rows is one task
+    table = quantize(vectors, id_col, vector_col).where("id is not null").withColumn("salt", F.xxhash64(F.spark_partition_id()))
+    table = materialize(table, "topk-vectors")
     n, width, asked = table.agg(F.count("*"), F.max(F.size("v")), F.count(F.when(F.expr(is_query.replace(id_col, "id")), 1))).first()
     if not n or not width or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     axes = rotation(table, width)
-    table = materialize(table.repartitionByRange(max(2, math.ceil(n / 20_000)), F.desc("norm")).sortWithinPartitions(F.desc("norm")), "topk-sorted")
+    table = materialize(table.repartitionByRange(max(2, math.ceil(n / RANGE_ROWS)), F.desc("norm"), "id", "salt").drop("salt").sortWithinPartitions(F.desc("norm")), "topk-sorted")
     head = table.orderBy(F.desc("norm"), "id").limit(HEAD).toArrow()
     head_rows = (head.column("id").to_numpy(), matrix(head.column("v").combine_chunks(), width), head.column("norm").to_numpy())
     queries = table.where(is_query.replace(id_col, "id")).groupBy("id").agg(F.min("v").alias("v"))
     blocks = math.ceil(asked / QUERY_BLOCK)
     queries = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = None
+    found = f"{scratch_root(spark)}/topk-found-{uuid.uuid4().hex}"
     for number in range(blocks):
         rows = queries.where(F.col("block") == number).select("id", "v").toArrow()
         if not rows.num_rows:
@@ -177,9 +182,10 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id"
         floor = float(np.min(least / np.maximum(np.linalg.norm(asked_rows.astype(float), axis=1), 1e-300)))
         near = table.where(F.col("norm") >= F.lit(floor * (1 - 1e-9))) if np.isfinite(floor) and floor > 0 else table
         part = near.mapInArrow(search_batches(block, width), out)
-        found = part if found is None else found.union(part)
+        part.write.mode("append").parquet(found)  # k rows for each query and task
+        block.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(out).parquet(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle() -> str:
