@@ -1,14 +1,18 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
-
-Texts with at least 4/5 of their five-word shingles in common (of all that either has)
-are linked. All such pairs are met: if shingles stand in one order for all texts, two
-linked texts share one among the first n // 9 + 1 of the smaller and the first n // 5 + 1
-of the larger. What meets is held against a bound that loses nothing (a shingle that only
-one of the two has flips one of 512 parity bits) and then against the shingles themselves.
-
-Any order is right; common shingles stand last, so that few texts meet in them. Texts that
-meet are first held against one pivot of their shingle; then only those that are not yet
-in one component. Texts with equal shingles are folded before any of this.
+"""Near-duplicates: SimHash links first, then every pair of 4/5 similarity and more.
+
+Texts with at least 4/5 of their five-word shingles in common (of all that either has) are
+linked. A SimHash alone can't say so: at that similarity fingerprints differ in ten bits on
+average and in up to twenty, where a grid prunes nothing. So the SimHash operator, over
+five-word shingles, links what its grid range-join finds; each link is held against the
+shingles themselves; and the pairs that it cannot see are met otherwise: if shingles stand
+in one order for all texts, two linked texts share one among the first n // 9 + 1 of the
+smaller and the first n // 5 + 1 of the larger (n distinct shingles). Any order is right;
+common shingles stand last, so that few texts meet in them.
+
+What meets is held against a bound that loses nothing (a shingle that only one of the two
+has flips one of about n parity bits) and then against the shingles. Texts that meet in a
+shingle are first held against one of them; then only those not yet in one component.
+Texts with equal shingles are folded before any of this.
 """
 
 from __future__ import annotations
@@ -18,35 +22,40 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.simhash import BLOCK, SEED
+from loomgraph.llm import simhash
 from loomgraph.operators.components import connected_components
-from loomgraph.session import materialize, ship_package
+from loomgraph.session import discard, materialize, ship_package
 
 SHINGLE = 5
-#: 64-bit words of parity bits.
-WORDS = 8
+#: Parity bits at least; beyond, twice as many as there are shingles or less, a power of two.
+LEAST_BITS = 512
 #: Common shingles are those met LEAST times in one of SAMPLE texts, the COMMON most frequent. They decide the order only.
 SAMPLE, LEAST, COMMON = 16, 3, 250_000
 
 
 def shingles(text: bytes) -> np.ndarray:
     """The distinct XXH64 of all shingles, ascending; of all words if they are fewer than a shingle's."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = [b" ".join(words)] if len(words) < SHINGLE else [b" ".join(g) for g in zip(*(words[i:] for i in range(SHINGLE)))]
-    digest = xxhash.xxh64_intdigest
-    parts = [np.unique(np.array([digest(g, SEED) for g in grams[i : i + BLOCK]], np.uint64)) for i in range(0, len(grams), BLOCK)]
-    return np.unique(np.concatenate(parts))
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
+
+
+def parity(grams: np.ndarray) -> bytes:
+    """Of each class of shingles, whether their number is odd; as many classes as the number of shingles asks for."""
+    bits = max(LEAST_BITS, 1 << max(0, len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def parity(grams: np.ndarray) -> np.ndarray:
-    """Of each of 64 * WORDS classes of shingles, whether their number is odd."""
-    odd = np.bincount((grams % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def apart(x: bytes, y: bytes) -> int:
+    """Shingles that only one of two texts has, at least; parities of more classes are folded to fewer."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def beginning(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -62,35 +71,38 @@ def beginning(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _key(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes(), SEED)
+    return xxhash.xxh3_64_intdigest(grams.tobytes(), simhash.SEED)
 
 
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    return (shingles((t.as_py() or "").encode()) for t in batch.column(1))
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    return ((t.as_py() or "").encode() for t in batch.column(1))
 
 
 def _every_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for grams in _texts(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
+        for text in _texts(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["gram"])
 
 
 def _prints(common: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, bits, first = [], [], [], []
-            for grams in _texts(batch):
+            keys, prints, sizes, bits, first = [], [], [], [], []
+            for text in _texts(batch):
+                every = simhash.shingle_hashes(text, SHINGLE)
+                grams = np.unique(every)
                 keys.append(_key(grams))
+                prints.append(simhash.majority(every) if len(every) else 0)
                 sizes.append(len(grams))
                 bits.append(parity(grams))
                 first.append(beginning(grams, common).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _signed(keys), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
-                names=["id", "key", "n", "bits", "first"],
+                [batch.column(0), _signed(keys), _signed(prints), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                names=["id", "key", "fp", "n", "bits", "first"],
             )
 
     return run
@@ -98,42 +110,60 @@ def _prints(common: np.ndarray) -> Callable:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = list(_texts(batch))
+        found = [shingles(t) for t in _texts(batch)]
         yield pa.RecordBatch.from_arrays([_signed([_key(g) for g in found]), pa.array([g.tobytes() for g in found], pa.binary())], names=["key", "grams"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(5 * both >= 4 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _filtered(test: Callable) -> Callable:
+    """The pairs (a, b) for which test(x, y) is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _alike(x, y) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
-def _near(a: str, b: str) -> str:
-    """What any two linked texts satisfy; a is the smaller."""
-    apart = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(WORDS))
-    return f"5 * {a}.n >= 4 * {b}.n and 9 * ({apart}) <= {a}.n + {b}.n"
+#: What the sizes of any two linked texts satisfy.
+NEAR_SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose shingles are alike."""
-    pairs = materialize(pairs, "neardup-met")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    needed = materialize(reps.select("key", F.col("rep").alias("id")).join(keys, "key"), "neardup-needed")
+def _verified(pairs: DataFrame, about: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose shingles are alike. about: (key, rep, n, bits)."""
+    side = lambda k: about.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    # so many shingles may differ: (na + nb) / 9; the bound is compared where both parities are at hand
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(NEAR_SIZES).select("a", "b", "bitsa", "bitsb", "na", "nb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+            keep = [9 * apart(x.as_buffer(), y.as_buffer()) <= m for x, y, m in zip(batch.column(2), batch.column(3), most)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    met = materialize(close.mapInArrow(run, "a long, b long"), "neardup-met")
+    keys = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    needed = materialize(about.select("key", F.col("rep").alias("id")).join(keys, "key"), "neardup-needed")
     # an id can come back with another text, so keys are computed anew
     sets = texts.join(needed.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "key long, grams binary")
     sets = materialize(sets.join(needed.select("key"), "key", "left_semi").dropDuplicates(["key"]), "neardup-sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "neardup-links")
+    both = met.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+    out = materialize(both.select("a", "b", "x", "y").mapInArrow(_filtered(_alike), "a long, b long"), "neardup-links")
+    discard(sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) for every row of docs with an id: the smallest id that links reach.
 
-    Null texts and texts without words are copies of each other.
+    Null texts and texts without words are copies of each other. Other columns are ignored;
+    repeated rows come back repeated; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -143,34 +173,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = counted.where(F.col("count") >= LEAST).orderBy(F.desc("count"), "gram").limit(COMMON).collect()
     common = np.array([r.gram for r in reversed(often)], np.int64).view(np.uint64)
 
-    prints = materialize(texts.mapInArrow(_prints(common), f"id {kind}, key long, n long, bits array<long>, first array<long>"), "neardup-prints")
-    reps = prints.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first"))
-    reps = materialize(reps, "neardup-reps")
-
-    same = Window.partitionBy("gram")
-    begun = reps.select("key", "n", F.posexplode("first").alias("at", "gram")).select("key", "gram", (F.expr("at <= n div 9")).alias("small"))
-    blocks = begun.withColumn("met", F.count("*").over(same)).withColumn("pivot", F.min("key").over(same)).where("met > 1").drop("met")
-    blocks = materialize(blocks, "neardup-blocks")
-
-    about = reps.select("key", "n", "bits")
-    stars = blocks.where("key <> pivot").select("key", "pivot").distinct()
-    stars = stars.join(about, "key").alias("x").join(about.select(F.col("key").alias("pivot"), "n", "bits").alias("y"), "pivot")
-    stars = stars.where(F.expr(f"(x.n <= y.n and {_near('x', 'y')}) or (x.n > y.n and {_near('y', 'x')})"))
-    links = _verified(stars.select(F.col("x.key").alias("a"), F.col("y.pivot").alias("b")), texts, reps)
-
-    joined = connected_components(links, "a", "b").select(F.col("node").alias("key"), "component")
-    known = materialize(about.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")), "neardup-known")
-    mixed = blocks.select("key", "gram", "small").join(known, "key")
-    mixed = mixed.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).where("low <> high").drop("low", "high")
-    met = mixed.where("small").alias("x").join(mixed.alias("y"), F.expr(f"x.gram = y.gram and x.component <> y.component and x.n <= y.n and {_near('x', 'y')}"))
-    more = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    links = links.unionByName(_verified(more, texts, reps))
-
-    joined = connected_components(links, "a", "b")
-    classes = reps.select("key", "rep").join(joined, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    prints = materialize(texts.mapInArrow(_prints(common), f"id {kind}, key long, fp long, n int, bits binary, first array<long>"), "neardup-prints")
+    # of a group of copies any row's parity and fingerprint will do: they follow from the shingles, but for repeats
+    about = materialize(prints.groupBy("key").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.max("bits").alias("bits")), "neardup-reps")
+
+    by_print = about.groupBy("fp").agg(F.min("key").alias("rep"))
+    by_print = materialize(by_print, "neardup-fingerprints")
+    same = about.select("key", "fp").join(by_print, "fp").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    near = simhash.spanning_links(by_print).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+
+    # texts under four shingles are alike only if equal
+    begun = prints.where("n >= 4").select("key", "n", F.posexplode("first").alias("at", "gram")).select("gram", "key", "n", F.expr("at <= n div 9").alias("small"))
+    one = F.struct("key", "n")
+    shared = begun.groupBy("gram").agg(F.min(one).alias("lo"), F.max("key").alias("hi")).where("lo.key < hi")
+    blocks = materialize(begun.join(shared.select("gram", F.col("lo.key").alias("pivot"), F.col("lo.n").alias("pn")), "gram").distinct(), "neardup-blocks")
+
+    stars = blocks.where("key <> pivot").where(NEAR_SIZES.replace("na", "n").replace("nb", "pn")).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    first = same.union(near).union(stars).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = _verified(first, about, texts)
+
+    joined = connected_components(found, "a", "b").select(F.col("node").alias("key"), "component")
+    known = blocks.select("gram", "key", "n", "small").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    known = materialize(known, "neardup-known")
+    discard(blocks)
+    mixed = known.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
+    mixed = materialize(known.join(mixed, "gram", "left_semi"), "neardup-mixed")
+    discard(known)
+    x, y = (mixed.select("gram", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}"), F.col("small").alias(f"small{k}")) for k in "ab")
+    met = x.where("smalla").join(y, "gram").where(f"ca <> cb and na <= nb and {NEAR_SIZES}")
+    more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every = found.unionByName(_verified(more, about, texts))
+
+    joined = connected_components(every, "a", "b")
+    classes = about.select("key", "rep").join(joined, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = materialize(classes.join(least, "component").select("key", "component_id"), "neardup-classes")
-    return prints.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "component_id")
+    classes = classes.join(least, "component").select("key", "component_id")
+    out = materialize(prints.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "component_id"), "neardup-classes")
+    for table in (prints, about, by_print, mixed):
+        discard(table)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

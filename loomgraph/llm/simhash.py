@@ -8,7 +8,9 @@ So each half is a unit grid: a fingerprint is at home in its own cell and visits
 cells one step above it; a pair within one step meets in a cell. What meets is held
 against the full Manhattan bound and then against the exact Hamming distance.
 
-Copies are folded to one representative per fingerprint before any of this.
+Copies are folded to one representative per fingerprint before any of this, and members
+of a crowded cell are first joined to its smallest fingerprint, so that only pairs that
+these stars leave apart are made one by one.
 """
 
 from __future__ import annotations
@@ -34,25 +36,32 @@ BLOCK = 65536
 LOW = 0x5555555555555555
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority bits over the XXH64 of all shingles; 0 without words.
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), BLOCK):
+        part = hashes[start : start + BLOCK].astype("<u8", copy=False)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all shingles, repeats included; of the whole sequence if words are fewer; none without words.
 
     bytes.lower and bytes.split touch A-Z and the six ASCII blanks only, as wanted.
     """
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))]
-    ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for start in range(0, len(grams), BLOCK):
-        part = grams[start : start + BLOCK]
-        hashes = np.array([digest(g, SEED) for g in part], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<u8")[0])
+        return np.zeros(0, np.uint64)
+    grams = [words] if len(words) < shingle else zip(*(words[i:] for i in range(shingle)))
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.fromiter((digest(join(g), SEED) for g in grams), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority bits over the XXH64 of all shingles; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes) if len(hashes) else 0
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,31 +87,46 @@ def popcounts() -> F.Column:
     )
 
 
+def star_links(reps: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of representatives within MAX_BITS of the smallest fingerprint of their own cell.
+
+    Not all links, but one for each member of a crowded cell: what they join need not be
+    paired one by one.
+    """
+    home = reps.withColumn("p", popcounts()).select("fp", "rep", F.explode(F.expr("array(p & 4294967295L, 4294967296L + shiftrightunsigned(p, 32))")).alias("cell"))
+    centre = home.groupBy("cell").agg(F.min(F.struct(F.col("fp").alias("cfp"), F.col("rep").alias("crep"))).alias("c")).select("cell", "c.*")
+    near = home.join(centre, "cell").where(F.expr(f"fp <> cfp and bit_count(fp ^ cfp) <= {MAX_BITS}"))
+    return near.select(F.greatest("rep", "crep").alias("src"), F.least("rep", "crep").alias("dst")).distinct()
+
+
 def links(reps: DataFrame) -> DataFrame:
     """Pairs (src, dst, bits) of representatives whose fingerprints differ in 1 to MAX_BITS bits.
 
-    reps has (fp, rep), one row per distinct fingerprint.
+    reps has (fp, rep), one row per distinct fingerprint. If it has a column `class`, only
+    pairs of different classes are made.
     """
+    known = "class" if "class" in reps.columns else "fp"
     halves = reps.withColumn("p", popcounts()).select(
         "fp",
         "rep",
         "p",
+        F.col(known).alias("k"),
         F.explode(F.expr("array(named_struct('half', 0L, 'v', p & 4294967295L), named_struct('half', 1L, 'v', shiftrightunsigned(p, 32)))")).alias("s"),
-    ).select("fp", "rep", "p", F.col("s.half").alias("half"), F.col("s.v").alias("v"))
+    ).select("fp", "rep", "p", "k", F.col("s.half").alias("half"), F.col("s.v").alias("v"))
     cell = lambda v: F.expr(f"half * 4294967296L + {v}")
-    home = halves.select("fp", "rep", "p", cell("v").alias("cell"))
+    home = halves.select("fp", "rep", "p", "k", cell("v").alias("cell"))
     steps = F.expr(
         "filter(array(" + ", ".join(f"if((shiftright(v, {2 * i}) & 3) < 2, v + {1 << 2 * i}L, null)" for i in range(16)) + "), x -> x is not null)"
     )
-    visit = halves.select("fp", "rep", "p", "half", F.explode(F.array_append(steps, F.col("v"))).alias("w")).select(
-        "fp", "rep", "p", cell("w").alias("cell")
+    visit = halves.select("fp", "rep", "p", "k", "half", F.explode(F.array_append(steps, F.col("v"))).alias("w")).select(
+        "fp", "rep", "p", "k", cell("w").alias("cell")
     )
     a, b = home.alias("a"), visit.alias("b")
     step = "abs((shiftrightunsigned(a.p, {0}) & 3) - (shiftrightunsigned(b.p, {0}) & 3))"
     bound = " + ".join(step.format(2 * i) for i in range(32))
     met = a.join(
         b,
-        F.expr("a.cell = b.cell and a.fp <> b.fp")
+        F.expr("a.cell = b.cell and a.k <> b.k")
         & F.expr(f"{bound} <= {MAX_BITS}")
         & F.expr(f"bit_count(a.fp ^ b.fp) <= {MAX_BITS}"),
     )
@@ -111,6 +135,19 @@ def links(reps: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def spanning_links(reps: DataFrame) -> DataFrame:
+    """Pairs (src, dst) within MAX_BITS that join what all such pairs join.
+
+    First each crowded cell's star, then every pair that the stars left in different
+    components: a dense group is not paired one by one.
+    """
+    stars = materialize(star_links(reps), "simhash-stars")
+    joined = connected_components(stars)
+    known = reps.join(joined, reps.rep == joined.node, "left").select("fp", "rep", F.coalesce("component", "rep").alias("class"))
+    rest = links(materialize(known, "simhash-known"))
+    return stars.unionByName(rest.select("src", "dst"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of docs.
 
@@ -121,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
     reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
-    joined = connected_components(links(reps))
+    joined = connected_components(spanning_links(reps))
     classes = reps.join(joined, reps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     classes = materialize(classes, "simhash-classes")
     return prints.join(classes, "fp", "left").select(
