@@ -12,8 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and bytes of an Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Rows and bytes of an Arrow batch, and rows that a scan decodes at once: texts are long.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 1024, 16 << 20, 256
 
 _SHIPPED: set[str] = set()
 
@@ -35,16 +35,22 @@ def build_session(app: str = "loomgraph", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker (once per application).
-
-    Rows go to Python in batches of bounded rows and bytes, so that long texts fit in
-    memory; a session that has larger bounds gets these.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what is decoded or sent to Python at once; a session that has larger bounds gets these."""
+    bounds = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+        "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+        "spark.sql.parquet.columnarReaderBatchSize": SCAN_ROWS,
+    }
+    for key, most in bounds.items():
         given = spark.conf.get(key)
         if not given.isdigit() or not 0 < int(given) <= most:
             spark.conf.set(key, most)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker (once per application), with bounded batches."""
+    bound_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
