@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import bound_batches
+
 #: Latin letters, as ranges: much faster than a script property.
 LATIN = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u1E00-\u1EFF"
 TOKEN = rf"[{LATIN}&&[^eoEO]]*+[eoEO]|[{LATIN}]+|\S"
@@ -180,6 +182,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are ordered by a hash of their texts; a table of one row is its own next. Ids may be of
     any type with an order. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     made = with_sketch(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")), "_text", "_sketch")
     there = with_next(made, id_col, "_text", {"_text": "_next_text", "_sketch": "_next_sketch"})
     there = there.withColumn("n_chars", F.length("_text").cast("long"))
