@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 1000, 200
 
 
-def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+#: Blank as Python's strip sees it: every kind of space and the separators among the controls.
+BLANK = r"^[\s\x0B\x1c-\x1f\x85\p{Z}]*$"
+
+
+def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK, overlap: int = OVERLAP, uri_col: str | None = None) -> DataFrame:
     """(id, doc_id, chunk_index, body): windows of `size` code points, one every size - overlap.
 
     A window begins at every step below the text's length, so a tail that the window
-    before already holds is a chunk too. Blank texts have none.
+    before already holds is a chunk too. Texts of blanks only have none. The id is the
+    version 5 UUID of "uri:index", with the document's id for a uri by default.
     """
     if overlap >= size:
         raise ValueError("overlap must be less than size")
     step = size - overlap
     starts = F.sequence(F.lit(0), F.length(text_col) - 1, F.lit(step))
+    uri = F.col(uri_col or id_col).cast("string").alias("_uri")
     return (
-        docs.where(F.trim(text_col) != "")
-        .select(F.col(id_col).alias("doc_id"), F.posexplode(F.transform(starts, lambda i: F.substring(F.col(text_col), i + 1, F.lit(size)))).alias("chunk_index", "body"))
-        .select(F.concat_ws(":", "doc_id", "chunk_index").alias("id"), "doc_id", "chunk_index", "body")
+        docs.where(F.col(text_col).isNotNull() & ~F.col(text_col).rlike(BLANK))
+        .select(F.col(id_col).alias("doc_id"), uri, F.posexplode(F.transform(starts, lambda i: F.substring(F.col(text_col), i + 1, F.lit(size)))).alias("chunk_index", "body"))
+        .select(chunk_id(F.col("_uri"), F.col("chunk_index")).alias("id"), "doc_id", "chunk_index", "body")
     )
 
 
+def chunk_id(uri: Column, position: Column) -> Column:
+    return uuid5_dns(F.concat_ws(":", uri, position.cast("string")))
+
+
 def slugify(label: Column) -> Column:
     """A label as an id: at most 128 of a-z, 0-9 and single underscores; 'unknown' for none."""
     plain = F.regexp_replace(F.lower(F.trim(label)), "[^a-z0-9]+", "_")
@@ -91,14 +101,20 @@ def tags(text: Column) -> Column:
     return F.array_sort(F.array_union(named, F.regexp_extract_all(text, F.lit(r"(?<!\S)#([a-zA-Z][a-zA-Z0-9_/-]*)"), F.lit(1))))
 
 
-#: Letters with marks that decompose under NFKD, and what is left without the marks.
-_ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrsssstt" + "uuuuuuuuuu" + "wyyyzzz"
+def decomposed(text: Column) -> Column:
+    """The text under NFKD without its combining marks; Spark has no such function."""
+
+    def plain(values):
+        import unicodedata
+
+        return values.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    return F.pandas_udf(plain, "string")(text)
 
 
 def normalize_label(label: Column) -> Column:
-    """Lower case, accents and apostrophes dropped, other marks to single blanks."""
-    plain = F.translate(F.translate(F.lower(F.coalesce(label, F.lit(""))), _ACCENTED, _PLAIN), "'", "")
+    """Decomposed without marks, lower case, apostrophes dropped, other marks to single blanks."""
+    plain = F.replace(F.lower(decomposed(F.coalesce(label, F.lit("")))), F.lit("'"), F.lit(""))
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 

@@ -14,28 +14,35 @@ def label_keys(entities: DataFrame) -> DataFrame:
     return with_label_keys(entities.where("label is not null and label <> ''").groupBy("label").agg(F.min("entity_type").alias("entity_type")))
 
 
-#: Labels that one token or acronym block may hold before its pairs are salted over tasks.
-HOT_BLOCK = 512
+def full_name(tokens: Column) -> Column:
+    """A person's name without leading titles."""
+    return F.regexp_replace(F.array_join(tokens, " "), f"^(({'|'.join(HONORIFICS)}) )+", "")
 
 
 def candidates(keys: DataFrame) -> DataFrame:
-    """(l, r), l < r: labels that share a token other than a stopword, or an acronym and its initials.
+    """(l, r), l < r: labels that some rule may join.
 
-    The self-join is on (token, salt): each label of a block goes to one salt on the left
-    and to all on the right, and blocks get more salts as they get more labels, so a
-    common token's pairs spread over tasks. No pair is dropped.
+    A rule joins labels that share a token other than a stopword, or an acronym and its
+    initials. Pairs of all labels that share a token would grow with the square of a common
+    token's labels, so each rule meets by a key of its own: the normal form; the singular;
+    the tokens without legal endings; an acronym as the initials or as a token of another; a
+    single token as a person's surname. Only spellings of one name share such a key.
     """
-    blocks = keys.select("label", F.explode(F.array_distinct(F.filter("toks", lambda t: ~t.isin(*STOPWORDS)))).alias("token"))
-    size = blocks.groupBy("token").agg(F.ceil(F.count("*") / HOT_BLOCK).cast("int").alias("salts"), F.count("*").alias("n")).where("n > 1").drop("n")
-    sized = blocks.join(size, "token")
-    left = sized.select("token", F.col("label").alias("l"), F.pmod(F.xxhash64("label"), F.col("salts")).cast("int").alias("salt"))
-    right = sized.select("token", F.col("label").alias("r"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    shared = left.join(right, ["token", "salt"]).where("l < r").select("l", "r")
-    short = keys.where("acronym").select(F.col("label").alias("s"), F.col("norm").alias("initials"))
-    kept = F.size(F.filter("toks", lambda t: ~t.isin(*STOPWORDS)))
-    long = keys.where(kept >= 2).select(F.col("label").alias("g"), "initials")
-    expanded = short.join(long, "initials").where("s <> g").select(F.least("s", "g").alias("l"), F.greatest("s", "g").alias("r"))
-    return shared.union(expanded).distinct()
+    kept = F.array_distinct(F.filter("toks", lambda t: ~t.isin(*STOPWORDS)))
+    known = keys.withColumn("kept", kept)
+    bare = F.concat_ws(" ", F.array_sort(F.array_distinct(F.array_except("toks", F.array(*[F.lit(x) for x in LEGAL_SUFFIX])))))
+    rule = lambda n, key: F.struct(F.lit(n).alias("rule"), key.alias("key"))
+    keyed = known.select("label", "kept", F.explode(F.array(rule(0, F.col("norm")), rule(1, F.col("sing")), rule(2, bare))).alias("k")).select("label", "kept", "k.*").where("key <> ''")
+    a, b = (keyed.select("rule", "key", F.col("label").alias(x), F.col("kept").alias(f"kept_{x}")) for x in "lr")
+    alike = a.join(b, ["rule", "key"]).where(F.expr("l < r and arrays_overlap(kept_l, kept_r)")).select("l", "r")
+    pair = lambda df: df.where("s <> g").select(F.least("s", "g").alias("l"), F.greatest("s", "g").alias("r"))
+    short = known.where("acronym").select(F.col("label").alias("s"), F.col("norm").alias("key"))
+    expanded = pair(short.join(known.where(F.size("kept") >= 2).select(F.col("label").alias("g"), F.col("initials").alias("key")), "key"))
+    inside = pair(short.join(known.select(F.col("label").alias("g"), F.explode("kept").alias("key")), "key"))
+    single = known.where((F.size("toks") == 1) & (F.size("kept") == 1)).select(F.col("label").alias("s"), F.col("norm").alias("key"))
+    person = known.where("entity_type = 'person'").select(F.col("label").alias("g"), F.substring_index(full_name(F.col("toks")), " ", -1).alias("key"))
+    surnames = pair(single.join(person, "key"))
+    return alike.union(expanded).union(inside).union(surnames).distinct()
 
 
 def _subsequence(short: Column, long: Column) -> Column:
@@ -69,7 +76,7 @@ def matches(pairs: DataFrame, keys: DataFrame) -> DataFrame:
         out = F.lit(False)
         for s, g in (("l", "r"), ("r", "l")):
             toks = F.col(f"{g}_toks")
-            full = F.regexp_replace(F.array_join(toks, " "), f"^(({'|'.join(HONORIFICS)}) )+", "")
+            full = full_name(toks)
             single = F.element_at(F.col(f"{s}_toks"), 1)
             out = out | (
                 (F.col(f"{g}_entity_type") == "person") & (F.size(f"{s}_toks") == 1) & (F.length(single) >= 3)
@@ -115,6 +122,45 @@ def merge_entities(entities: DataFrame, canonical: DataFrame) -> DataFrame:
     )
 
 
+def cluster_order(found: DataFrame) -> DataFrame:
+    """(canonical, size, labels, place) of clusters, the largest first, then by the canonical label in lower case."""
+    grouped = found.groupBy("canonical").agg(F.max("size").alias("size"), F.array_sort(F.collect_list("label")).alias("labels"))
+    return grouped.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), F.lower("canonical"), "canonical")))  # a report's order
+
+
+def fold_counts(found: DataFrame) -> DataFrame:
+    """(labels, clusters, merged): how many labels there are, into how many clusters, and how many were folded away."""
+    return found.agg(F.count("*").alias("labels"), F.countDistinct("canonical").alias("clusters"), (F.count("*") - F.countDistinct("canonical")).alias("merged"))
+
+
+def canonicalize_graph(entities: DataFrame, edges: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges of an extraction under canonical ids, without unlinked junk.
+
+    Edges lose self-loops and repeats of (src, dst, type, evidence). An entity is dropped if
+    it is junk and no edge that is left names it.
+    """
+    merged = merge_entities(entities, canonical)
+    ids = entities.join(canonical.select("label", "canonical"), "label").select("id", slugify(F.col("canonical")).alias("new_id")).distinct()
+    linked = rewrite_edges(edges, ids, "evidence")
+    ends = linked.select(F.explode(F.array("src", "dst")).alias("new_id")).distinct().withColumn("linked", F.lit(True))
+    kept = merged.join(ends, "new_id", "left").where(F.col("linked").isNotNull() | ~is_junk(id="new_id")).drop("linked")
+    return kept, linked
+
+
+def merge_vectors(entities: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(new_id, embedding): of each cluster the canonical label's vector, else the surest member's that has one."""
+    joined = entities.where("embedding is not null").join(canonical.select("label", "canonical"), "label").withColumn("new_id", slugify(F.col("canonical")))
+    best = F.struct((F.col("label") == F.col("canonical")).cast("int"), "confidence", "id")
+    return joined.groupBy("new_id").agg(F.max_by("embedding", best).alias("embedding"))
+
+
+def repoint_mentions(mentions: DataFrame, ids: DataFrame) -> DataFrame:
+    """Mentions of new ids (id, new_id), one for each (entity, document); the surest stays, then the first source."""
+    moved = mentions.join(ids.select(F.col("id").alias("entity_id"), "new_id"), "entity_id", "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("new_id")
+    order = Window.partitionBy("entity_id", "doc_id").orderBy(F.desc("confidence"), "source_url")
+    return moved.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def rewrite_edges(edges: DataFrame, ids: DataFrame, *by: str) -> DataFrame:
     """Edges between new ids (id, new_id), without loops, one per (src, dst, edge_type, *by); the surest stays."""
     a, b = ids.select(F.col("id").alias("src"), F.col("new_id").alias("ns")), ids.select(F.col("id").alias("dst"), F.col("new_id").alias("nd"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,21 @@ from loomgraph.plans.testbed import Bed
 from loomgraph.session import materialize
 
 #: Labels with planted variants: plurals, legal endings, acronyms, surnames, accents.
-_VARIANT_SQL = """variant as (
-    select 'part ' || p_partkey || ' ' || p_name as label, 'tool' as entity_type, p_partkey as k from part where p_partkey % 40 = 0
-    union all select 'part ' || p_partkey || ' ' || p_name || 's', 'tool', p_partkey from part where p_partkey % 80 = 0
-    union all select 'Part-' || p_partkey || ' ' || p_name, 'concept', p_partkey from part where p_partkey % 120 = 0
-    union all select 'Maker Q' || s_suppkey, 'source', s_suppkey from supplier where s_suppkey % 5 = 0
-    union all select 'Maker Q' || s_suppkey || ' Inc', 'source', s_suppkey from supplier where s_suppkey % 10 = 0
-    union all select 'Ann Vela' || chr(cast(97 + c_custkey % 26 as int)) || 'q' || chr(cast(97 + c_custkey // 26 % 26 as int)), 'person', c_custkey from customer where c_custkey < 60
-    union all select 'Vela' || chr(cast(97 + c_custkey % 26 as int)) || 'q' || chr(cast(97 + c_custkey // 26 % 26 as int)), 'concept', c_custkey from customer where c_custkey < 60 and c_custkey % 3 = 0
+_LETTERS = "chr(cast(97 + c_custkey % 26 as int)) || chr(cast(97 + c_custkey // 26 % 26 as int)) || 'q' || chr(cast(97 + c_custkey // 676 % 26 as int)) || chr(cast(97 + c_custkey // 17576 % 26 as int))"
+#: Every part, supplier, customer and nation has a label; the key decides which variants stand beside it.
+_VARIANT_SQL = f"""variant as (
+    select 'part ' || p_partkey || ' ' || p_name as label, 'tool' as entity_type, p_partkey as k from part
+    union all select 'part ' || p_partkey || ' ' || p_name || 's', 'tool', p_partkey from part where p_partkey % 2 = 0
+    union all select 'Part-' || p_partkey || ' ' || p_name, 'concept', p_partkey from part where p_partkey % 3 = 0
+    union all select 'Maker Q' || s_suppkey, 'source', s_suppkey from supplier
+    union all select 'Maker Q' || s_suppkey || ' Inc', 'source', s_suppkey from supplier where s_suppkey % 2 = 0
+    union all select 'Ann Vela' || {_LETTERS}, 'person', c_custkey from customer
+    union all select 'Vela' || {_LETTERS}, 'concept', c_custkey from customer where c_custkey % 3 = 0
     union all select n_name || ' Bureau of Trade Norms', 'source', n_nationkey from nation
     union all select upper(substr(n_name, 1, 1)) || 'BTN', 'concept', n_nationkey from nation where n_nationkey % 4 = 0
     union all select upper(substr(n_name, 1, 1)) || 'TN', 'concept', n_nationkey from nation where n_nationkey % 4 = 1)"""
 
-VARIANT = _VARIANT_SQL.split("as (", 1)[1].rsplit(")", 1)[0].replace("c_custkey // 26", "floor(c_custkey / 26)").replace("from part where", "from {part} where").replace("from supplier where", "from {supplier} where").replace("from customer where", "from {customer} where").replace("from nation", "from {nation}")
+VARIANT = re.sub(r"c_custkey // (\d+)", r"floor(c_custkey / \1)", re.sub(r"from (part|supplier|customer|nation)\b", r"from {\1}", _VARIANT_SQL.split("as (", 1)[1].rsplit(")", 1)[0]))
 
 
 def variants(b: Bed) -> DataFrame:
@@ -42,8 +46,12 @@ _KEYS = f"""{_VARIANT_SQL},
     array_to_string(list_transform(list_filter(toks, lambda x: x not in {_STOP}), lambda x: x[1]), '') as initials,
     len(list_filter(toks, lambda x: x not in {_STOP})) as kept, regexp_matches(norm, '^[a-z]{{2,6}}$') as acronym from t),
   block as (select distinct label, unnest(list_filter(toks, lambda x: x not in {_STOP})) as token from keys),
-  cand as (select distinct a.label as l, b.label as r from block a join block b on a.token = b.token and a.label < b.label
-    union select least(s.label, g.label), greatest(s.label, g.label) from keys s join keys g on s.norm = g.initials where s.acronym and g.kept >= 2 and s.label <> g.label)"""
+  rule_key as (select label, toks, unnest([norm, sing, array_to_string(list_sort(list_distinct(list_filter(toks, lambda x: x not in ('inc', 'incorporated', 'llc', 'ltd', 'limited', 'corp', 'corporation', 'co', 'company', 'gmbh', 'plc')))), ' ')]) as key, unnest([0, 1, 2]) as rule from keys),
+  last_name as (select label, regexp_extract(regexp_replace(norm, '^((dr|mr|mrs|ms|prof|professor|sir|dame) )+', ''), '[^ ]*$') as surname from keys where entity_type = 'person'),
+  cand as (select a.label as l, b.label as r from rule_key a join rule_key b on a.rule = b.rule and a.key = b.key and a.label < b.label where a.key <> '' and list_has_any(list_filter(a.toks, lambda x: x not in {_STOP}), b.toks)
+    union select least(s.label, g.label), greatest(s.label, g.label) from keys s join keys g on s.norm = g.initials where s.acronym and g.kept >= 2 and s.label <> g.label
+    union select least(s.label, g.label), greatest(s.label, g.label) from keys s join block g on s.norm = g.token where s.acronym and s.label <> g.label
+    union select least(s.label, g.label), greatest(s.label, g.label) from keys s join last_name g on s.norm = g.surname where len(s.toks) = 1 and s.norm not in {_STOP} and s.label <> g.label)"""
 
 _LEGAL = "['inc', 'incorporated', 'llc', 'ltd', 'limited', 'corp', 'corporation', 'co', 'company', 'gmbh', 'plc']"
 
@@ -103,6 +111,16 @@ def _(b: Bed) -> DataFrame:
     return canonical(b)
 
 
+@query("er_cluster_order", f"with recursive {_CLUSTER} select canonical, size, array_to_string(list_sort(list(label)), '|') as labels, cast(row_number() over (order by size desc, lower(canonical), canonical) as integer) as place from canon group by canonical, size")
+def _(b: Bed) -> DataFrame:
+    return resolve.cluster_order(canonical(b)).withColumn("labels", F.array_join("labels", "|"))
+
+
+@query("er_fold_counts", f"with recursive {_CLUSTER} select count(*) as labels, count(distinct canonical) as clusters, count(*) - count(distinct canonical) as merged from canon")
+def _(b: Bed) -> DataFrame:
+    return resolve.fold_counts(canonical(b))
+
+
 _SLUG = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
@@ -149,12 +167,12 @@ def _extracted(b: Bed) -> DataFrame:
     v = variants(b)
     return v.select(
         F.concat(F.lit("x_"), slugify(F.col("label")), F.lit("_"), "entity_type").alias("id"), "label", "entity_type", F.concat("entity_type", F.lit(" "), F.col("k").cast("string")).alias("description"),
-        ((F.col("k") % 50 + 50) / 100).alias("confidence"), F.when(F.col("k") % 2 == 0, "obsidian_tag").otherwise("llm").alias("provenance"), F.concat(F.lit("d"), (F.col("k") % 9).cast("string")).alias("doc_id"),
+        ((F.col("k") % 50 + 50) / 100).alias("confidence"), F.when(F.col("k") % 2 == 0, "obsidian_tag").otherwise("llm").alias("provenance"), F.concat(F.lit("d"), (F.col("k") % 499).cast("string")).alias("doc_id"),
     )
 
 
 _EXTRACTED = f"""extracted as (select 'x_' || {_SLUG.format("label")} || '_' || entity_type as id, label, entity_type, entity_type || ' ' || k as description, (k % 50 + 50) / 100::double as confidence,
-    case when k % 2 = 0 then 'obsidian_tag' else 'llm' end as provenance, 'd' || (k % 9) as doc_id from variant),
+    case when k % 2 = 0 then 'obsidian_tag' else 'llm' end as provenance, 'd' || (k % 499) as doc_id from variant),
   moved as (select e.*, {_SLUG.format("c.canonical")} as new_id, c.canonical from extracted e join canon c using (label))"""
 
 
@@ -176,6 +194,15 @@ def _(b: Bed) -> DataFrame:
     return resolve.rewrite_edges(edges, ids).select("src", "dst", "confidence")
 
 
+@query("merge_vectors", f"""with recursive {_CLUSTER}, {_EXTRACTED}, v as (select m.*, x.vk from moved m join (select cast(substr(id, 5) as bigint) as vk from vector) x on x.vk = cast(round(m.confidence * 100) as bigint))
+    select new_id, (list(vk order by cast(label = canonical as int) desc, confidence desc, id desc))[1] as vk from v group by new_id""")
+def _(b: Bed) -> DataFrame:
+    key = F.round(F.col("confidence") * 100).cast("long")
+    held = b.vector.select(F.substring("id", 5, 20).cast("long").alias("vk"))
+    given = _extracted(b).withColumn("vk", key).join(held, "vk").withColumn("embedding", F.array("vk"))
+    return resolve.merge_vectors(given, canonical(b)).select("new_id", F.element_at("embedding", 1).alias("vk"))
+
+
 _JUNK_ENTITY = """junky as (select id, entity_type, case when created_at % 11 = 0 then 'https://x.org/' || label when created_at % 13 = 0 then 'person_' || lower(replace(label, ' ', '_')) when created_at % 17 = 0 then '1987' else label end as label,
     case when created_at % 17 = 0 then 'event' else entity_type end as kind, provenance from entity)"""
 _IS_JUNK = """(provenance = 'obsidian_tag' or id like 'tag\\_%' escape '\\' or (kind = 'event' and regexp_matches(label, '^(1[89]|20)[0-9]{2}$')) or regexp_matches(lower(label), 'http://|https://|www\\.|\\.com|\\.org|\\.md|\\.pdf|vault/|ontology\\.yaml')
@@ -241,8 +268,3 @@ def _(b: Bed) -> DataFrame:
     from loomgraph.sources.files import scan_vault
 
     return scan_vault(b.spark, str(Path(__file__).resolve().parents[2])).select("relative_path", "doc_id", F.length("body").alias("chars"))
-
-
-@query("largest_components")
-def _(b: Bed) -> DataFrame:
-    return graph.components(b.entity, b.edge).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(5)

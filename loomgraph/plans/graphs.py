@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph
+from loomgraph.operators import graph, report, retrieval
 from loomgraph.plans.catalog import query
 from loomgraph.plans.testbed import Bed
 
@@ -18,16 +18,17 @@ def _(b: Bed) -> DataFrame:
     return graph.simple_graph(b.edge)
 
 
-_STEP = "step as (select src, dst, max(confidence) as c from edge group by src, dst)"
+_STEP = "step as (select src, dst, confidence as c, edge_type as kind from edge qualify row_number() over (partition by src, dst order by confidence desc, edge_type) = 1)"
 
 
-@query("find_path", f"""with recursive {_STEP}, walk(start, here, nodes, hops, conf) as (select id, id, [id], 0, 1.0::double from entity where entity_type = 'person' and contains(label, '77')
-      union all select w.start, s.dst, list_append(w.nodes, s.dst), w.hops + 1, w.conf * s.c from walk w join step s on s.src = w.here where w.hops < 4 and not list_contains(w.nodes, s.dst))
-    select start, here as end_, array_to_string(nodes, '>') as nodes, hops, round(conf, 4) as confidence from walk where hops > 0 and here in (select id from entity where entity_type = 'place')""")
+@query("find_path", f"""with recursive {_STEP}, walk(start, here, nodes, types, hops, conf) as (select id, id, [id], []::varchar[], 0, 1.0::double from entity where entity_type = 'person' and contains(label, '77')
+      union all select w.start, s.dst, list_append(w.nodes, s.dst), list_append(w.types, s.kind), w.hops + 1, w.conf * s.c from walk w join step s on s.src = w.here where w.hops < 4 and not list_contains(w.nodes, s.dst))
+    select start, here as end_, array_to_string(nodes, '>') as nodes, array_to_string(types, '>') as types, hops, round(conf, 4) as confidence from walk where hops > 0 and here in (select id from entity where entity_type = 'place')
+    order by confidence desc, hops, walk.nodes limit 5""")
 def _(b: Bed) -> DataFrame:
     starts = b.entity.where(F.col("label").contains("77") & (F.col("entity_type") == "person"))
-    found = graph.paths(b.edge, starts, b.entity.where("entity_type = 'place'"), 4)
-    return found.select("start", F.col("end").alias("end_"), F.array_join("nodes", ">").alias("nodes"), "hops", "confidence")
+    found = graph.paths(b.edge, starts, b.entity.where("entity_type = 'place'"), 4, limit=5)
+    return found.select("start", F.col("end").alias("end_"), F.array_join("nodes", ">").alias("nodes"), F.array_join("types", ">").alias("types"), "hops", "confidence")
 
 
 _LINK = "link as (select distinct a, b from (select src as a, dst as b from edge union all select dst, src from edge) where a <> b)"
@@ -47,48 +48,61 @@ def _(b: Bed) -> DataFrame:
     return graph.neighborhood(b.edge, seed, 2).select("id", "distance")
 
 
-@query("verify_path", f"""with recursive seed as (select id from entity where id like 'part_11%'), walk(start, here, nodes, hops, kinds, thin) as (select id, id, [id], 0, []::varchar[], 0 from seed
-      union all select w.start, e.dst, list_append(w.nodes, e.dst), w.hops + 1, list_append(w.kinds, e.edge_type), w.thin + case when length(e.evidence) < 10 then 1 else 0 end
-      from walk w join edge e on e.src = w.here where w.hops < 2 and not list_contains(w.nodes, e.dst))
-    select array_to_string(nodes, '>') as nodes, array_to_string(kinds, '>') as kinds, cast(thin + len(list_filter(kinds, lambda k: k = 'CONFLICTS_WITH')) as integer) as contradictions,
-      cast(len(list_filter(kinds, lambda k: k = 'SUPPORTS')) as integer) as supports, thin + len(list_filter(kinds, lambda k: k = 'CONFLICTS_WITH')) = 0 as verified from walk where hops = 2""")
-def _(b: Bed) -> DataFrame:
-    front = b.entity.where("id like 'part_11%'").select(F.col("id").alias("at"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.lit(0).alias("thin"))
-    step = b.edge.select("src", "dst", "edge_type", (F.length("evidence") < 10).cast("int").alias("t"))
-    for _hop in range(2):
-        front = (
-            front.join(step, F.col("at") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
-            .select(F.col("dst").alias("at"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("kinds", F.col("edge_type")).alias("kinds"), (F.col("thin") + F.col("t")).alias("thin"))
-        )
-    against = F.col("thin") + F.size(F.filter("kinds", lambda k: k == "CONFLICTS_WITH"))
-    return front.select(
-        F.array_join("nodes", ">").alias("nodes"), F.array_join("kinds", ">").alias("kinds"), against.alias("contradictions"),
-        F.size(F.filter("kinds", lambda k: k == "SUPPORTS")).alias("supports"), (against == 0).alias("verified"),
-    )
+_NEAR_BRAND = f"""{_LINK}, one as (select b as id from link where a = 'brand_brand_11'), two as (select l.b as id from one o join link l on l.a = o.id), near as (select 'brand_brand_11' as id union select id from one union select id from two)"""
+
+
+@query("neighborhood_edges", f"with {_NEAR_BRAND} select src, dst, edge_type from edge where src in (select id from near) and dst in (select id from near)")
+def _(b: Bed) -> DataFrame:
+    found = graph.neighborhood(b.edge, b.entity.where("id = 'brand_brand_11'"), 2)
+    return graph.neighborhood_edges(b.edge, found).select("src", "dst", "edge_type")
+
+
+@query("neighborhood_by_type", """with link as (select distinct a, b from (select src as a, dst as b from edge where edge_type = 'PART_OF' union all select dst, src from edge where edge_type = 'PART_OF') where a <> b),
+    one as (select b as id from link where a = 'nation_3'), two as (select l.b as id from one o join link l on l.a = o.id),
+    every as (select 'nation_3' as id, 0 as d union all select id, 1 from one union all select id, 2 from two) select id, cast(min(d) as integer) as distance from every group by id""")
+def _(b: Bed) -> DataFrame:
+    return graph.neighborhood(b.edge, b.entity.where("id = 'nation_3'"), 2, ["PART_OF"]).select("id", "distance")
+
+
+_FROM, _TO = ("part_11", "part_67"), ("question_27", "question_7", "region_1")
 
 
-_PARTS = "edge where edge_type in ('SUPPORTS', 'CONFLICTS_WITH')"
+@query("verify_path", f"""with step as (select a as node, b as other, edge_type, thin from (
+        select src as a, dst as b, edge_type, cast(length(coalesce(evidence, '')) < 10 as integer) + cast(edge_type = 'CONFLICTS_WITH' as integer) as thin from edge
+        union all select dst, src, edge_type, cast(length(coalesce(evidence, '')) < 10 as integer) + cast(edge_type = 'CONFLICTS_WITH' as integer) from edge)),
+    goal as (select unnest({list(_TO)}) as id),
+    one as (select [s.id, t.other] as nodes, [t.edge_type] as types, t.thin as against, t.other as here, 1 as hops from entity s join step t on t.node = s.id where s.id in {_FROM} and t.other <> s.id),
+    two as (select list_append(o.nodes, t.other) as nodes, list_append(o.types, t.edge_type) as types, o.against + t.thin as against, t.other as here, 2 as hops from one o join step t on t.node = o.here
+        where o.here not in (select id from goal) and not list_contains(o.nodes, t.other)),
+    three as (select list_append(o.nodes, t.other) as nodes, list_append(o.types, t.edge_type) as types, o.against + t.thin as against, t.other as here, 3 as hops from two o join step t on t.node = o.here
+        where o.here not in (select id from goal) and t.other in (select id from goal) and not list_contains(o.nodes, t.other)),
+    every as (select * from one union all select * from two union all select * from three)
+    select array_to_string(nodes, '>') as nodes, array_to_string(types, '>') as types, hops, against as contradictions, cast(len(list_filter(types, lambda k: k = 'SUPPORTS')) as integer) as supports, against = 0 as verified
+    from every where here in (select id from goal) qualify row_number() over (partition by every.nodes[1], here order by hops, every.nodes, every.types) <= 10""")
+def _(b: Bed) -> DataFrame:
+    found = graph.verify_paths(b.edge, b.entity.where(F.col("id").isin(*_FROM)), b.entity.where(F.col("id").isin(*_TO)))
+    return found.withColumn("nodes", F.array_join("nodes", ">")).withColumn("types", F.array_join("types", ">"))
 
 
-def _belief_edges(b: Bed) -> DataFrame:
-    return b.edge.where(F.col("edge_type").isin("SUPPORTS", "CONFLICTS_WITH"))
+_KNOWN = """link as (select t.src as a, t.dst as b from edge t where t.src in (select id from entity) and t.dst in (select id from entity)
+      union select t.dst, t.src from edge t where t.src in (select id from entity) and t.dst in (select id from entity)),
+    cc(id, component) using key (id) as (select id, id from entity union
+      select l.b, min(x.component) from cc x join link l on l.a = x.id join recurring.cc y on y.id = l.b where x.component < y.component group by l.b)"""
 
 
-@query("components", f"""with recursive known as (select r.src, r.dst from {_PARTS} as t(src, dst, edge_type, weight, confidence, evidence, created_at), lateral (select t.src, t.dst) r
-      where t.src in (select id from entity) and t.dst in (select id from entity)),
-    link as (select src as a, dst as b from known union select dst, src from known),
-    reach(id, seen) as (select id, id from entity union select r.id, l.b from reach r join link l on l.a = r.seen)
-    select id, min(seen) as component from reach group by id""".replace("edge where edge_type in ('SUPPORTS', 'CONFLICTS_WITH') as t(src, dst, edge_type, weight, confidence, evidence, created_at), lateral (select t.src, t.dst) r\n      where", "edge t, lateral (select t.src, t.dst) r\n      where t.edge_type in ('SUPPORTS', 'CONFLICTS_WITH') and"))
+@query("components", f"with recursive {_KNOWN} select id, component from cc")
 def _(b: Bed) -> DataFrame:
-    return graph.components(b.entity, _belief_edges(b))
+    return graph.components(b.entity, b.edge)
 
 
-@query("bridges", f"""with recursive pair as (select distinct least(src, dst) as a, greatest(src, dst) as b from {_PARTS} and src <> dst),
-    link as (select a as x, b as y from pair union select b, a from pair),
-    reach(a, b, seen) as (select a, b, a from pair union select r.a, r.b, l.y from reach r join link l on l.x = r.seen where not (least(l.x, l.y) = r.a and greatest(l.x, l.y) = r.b))
-    select a, b from pair p where not exists (select 1 from reach r where r.a = p.a and r.b = p.b and r.seen = p.b)""")
+@query("largest_components", f"with recursive {_KNOWN} select component, count(*) as n from cc group by component order by n desc, component limit 5")
 def _(b: Bed) -> DataFrame:
-    return graph.bridges(_belief_edges(b))
+    return graph.components(b.entity, b.edge).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(5)
+
+
+@query("bridges")
+def _(b: Bed) -> DataFrame:
+    return graph.bridges(b.edge)
 
 
 @query("community_gaps", """with size as (select community_id as c, count(*) as n from community group by 1 having count(*) >= 3),
@@ -104,12 +118,12 @@ def _(b: Bed) -> DataFrame:
 
 @query("communities")
 def _(b: Bed) -> DataFrame:
-    return graph.label_communities(b.entity, b.edge)
+    return graph.louvain_communities(b.entity, b.edge)
 
 
 def _summaries(b: Bed, least: int = 3) -> DataFrame:
     """(community, size, top_entities, summary) of communities of at least `least` members."""
-    members = graph.label_communities(b.entity, b.edge)
+    members = graph.louvain_communities(b.entity, b.edge)
     ranked = members.join(graph.degrees(b.entity, b.edge), "id").join(b.entity.select("id", "label", "entity_type", "description"), "id")
     item = F.struct((-F.col("degree")).alias("d"), "id", "label", "entity_type", "description")
     size = members.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least)
@@ -131,7 +145,7 @@ def _(b: Bed) -> DataFrame:
 
 @query("community_members")
 def _(b: Bed) -> DataFrame:
-    members = graph.label_communities(b.entity, b.edge)
+    members = graph.louvain_communities(b.entity, b.edge)
     return members.join(b.entity.select("id", "label", "entity_type"), "id")
 
 
@@ -143,30 +157,35 @@ def _(b: Bed) -> DataFrame:
 
 @query("skeleton")
 def _(b: Bed) -> DataFrame:
-    return graph.skeleton(_belief_edges(b))
+    return graph.skeleton(b.edge)
 
 
 @query("homology")
 def _(b: Bed) -> DataFrame:
-    found = graph.homology(b.edge, b.entity, most=60)
+    found = graph.homology(b.edge, b.entity)
     return b.spark.createDataFrame([(found["h0"], found["h1"], json.dumps(found["persistent"]))], "h0 int, h1 int, persistent string")
 
 
+@query("community_list")
+def _(b: Bed) -> DataFrame:
+    """Stored summaries by size, the largest first, then by id."""
+    return _summaries(b).orderBy(F.desc("size"), "id").select("id", "size", F.array_join("top_entities", ", ").alias("top_entities"))
+
+
+def _topology(b: Bed) -> report.Topology:
+    return report.Topology(b.entity, b.edge)
+
+
 @query("topology_report")
 def _(b: Bed) -> DataFrame:
-    parts = graph.components(b.entity, b.edge).groupBy("component").agg(F.count("*").alias("n"))
-    shape = parts.agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("isolated"))
-    conflicts = b.edge.where("edge_type = 'CONFLICTS_WITH'").agg(F.count("*").alias("contradictions"))
-    cut = graph.bridges(_belief_edges(b)).agg(F.count("*").alias("belief_bridges"))
-    return shape.join(F.broadcast(conflicts)).join(F.broadcast(cut))
+    return _topology(b).rows()
 
 
 @query("briefing")
 def _(b: Bed) -> DataFrame:
-    """The daily reflection as (section, line) rows."""
-    from loomgraph.plans.relational import CUTOFF, labelled
+    """The daily reflection as (place, section, line) rows."""
+    from loomgraph.plans.relational import CUTOFF
+    from loomgraph.plans.searches import _vector_links
 
-    new = b.entity.where(F.col("created_at") > CUTOFF).groupBy("entity_type").count().select(F.lit("new ideas").alias("section"), F.concat_ws(": ", "entity_type", F.col("count").cast("string")).alias("line"))
-    clash = labelled(b, b.edge.where("edge_type = 'CONFLICTS_WITH'")).orderBy(F.desc("created_at"), "src").limit(5).select(F.lit("conflicts"), F.concat_ws(" vs ", "src_label", "dst_label"))
-    old = b.entity.where(F.col("created_at") < CUTOFF).join(b.edge.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti").orderBy("created_at", "id").limit(5).select(F.lit("underdeveloped"), "label")
-    return new.union(clash).union(old)
+    hidden = retrieval.hidden_pairs(b.vector, _vector_links(b), least=0.4, top=50)
+    return report.briefing(_topology(b), hidden, b.mention.select(F.col("entity_id").alias("id")), now=CUTOFF + 86_400, prune_days=30)

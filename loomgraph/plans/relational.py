@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text
 from loomgraph.operators import graph, health, writes
 from loomgraph.plans import ontology as onto
 from loomgraph.plans.catalog import query
@@ -41,9 +42,10 @@ def _(b: Bed) -> DataFrame:
     return b.chunk.where(F.col("sensitivity").isin("public")).groupBy("sensitivity").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query("chunk_by_id", "select id, doc_id, chunk_index, body from chunk where id = '7:0'")
+@query("chunk_by_id", "select c.id, c.doc_id, chunk_index, c.body from chunk c join doc d on d.doc_id = c.doc_id where d.doc_id = '7' and chunk_index = 0")
 def _(b: Bed) -> DataFrame:
-    return b.chunk.where("id = '7:0'").select("id", "doc_id", "chunk_index", "body")
+    source = b.doc.where("doc_id = '7'").select(text.chunk_id(F.col("source_uri"), F.lit(0)).alias("id"))
+    return b.chunk.join(source, "id", "left_semi").select("id", "doc_id", "chunk_index", "body")
 
 
 @query("new_documents", "select d.doc_id, d.source_uri from doc d where not exists (select 1 from mention m where cast(m.doc_id as varchar) = d.doc_id)")
@@ -294,10 +296,10 @@ def _(b: Bed) -> DataFrame:
 
 
 @query("graph_view", """with deg as (select id, count(*) as degree from (select src as id from edge union all select dst from edge) group by id),
-    top as (select e.id from entity e left join deg d using (id) order by coalesce(d.degree, 0) desc, e.id limit 100)
+    top as (select e.id from entity e left join deg d using (id) order by coalesce(d.degree, 0) desc, e.id limit 500)
     select src, dst, edge_type from edge where src in (select id from top) and dst in (select id from top)""")
 def _(b: Bed) -> DataFrame:
-    top = graph.degrees(b.entity, b.edge).orderBy(F.desc("degree"), "id").limit(100)
+    top = graph.degrees(b.entity, b.edge).orderBy(F.desc("degree"), "id").limit(500)
     keep = b.edge.join(top.select(F.col("id").alias("src")), "src", "left_semi").join(top.select(F.col("id").alias("dst")), "dst", "left_semi")
     return keep.select("src", "dst", "edge_type")
 

@@ -69,25 +69,25 @@ TABLES: dict[str, str] = {
             _edge(_id("part", "p_partkey"), TYPE_ID, "ASKED_ABOUT", "p_partkey", "{part} where p_partkey % 101 = 1"),
             _edge(_id("part", "p_partkey"), _id("part", "p_partkey + 100000000"), "SUPPORTS", "p_partkey", "{part} where p_partkey % 500 = 3"),
             _edge(_id("part", "p_partkey"), TYPE_ID, "BOGUS", "p_partkey", "{part} where p_partkey % 211 = 5"),
-            _edge(_id("part", "l_partkey"), _id("supplier", "l_suppkey"), "REQUIRES", "l_partkey", "(select distinct l_partkey, l_suppkey from {lineitem} where (l_partkey + 3 * l_suppkey) % 31 = 0) r"),
+            _edge(_id("part", "l_partkey"), _id("supplier", "l_suppkey"), "REQUIRES", "l_partkey", "(select distinct l_partkey, l_suppkey from {lineitem}) r"),
         ]
     ),
     "mention": """select 'part_' || cast(p_partkey as string) as entity_id, d.doc_id, cast(0.9e0 as double) as confidence, d.source as source_url
-        from {part} join {documents} d on d.doc_id = p_partkey % 1000 where p_partkey % 3 = 0""",
+        from {part} join {documents} d on d.doc_id = p_partkey % 1000""",
     "edge_node": """select 'order_' || cast(o_orderkey as string) as id,
         case o_orderstatus when 'O' then 'similar' when 'F' then 'contains' else 'leads_to' end as semantic_type,
-        o_orderpriority as label, cast(o_orderkey % 10 / 10e0 as double) as weight from {orders} where o_orderkey % 40 = 0""",
-    "connects": "select 'customer_' || cast(o_custkey as string) as entity_id, 'order_' || cast(o_orderkey as string) as edge_id from {orders} where o_orderkey % 40 = 0",
-    "binds": "select distinct 'order_' || cast(l_orderkey as string) as edge_id, 'part_' || cast(l_partkey as string) as entity_id from {lineitem} where l_orderkey % 40 = 0",
+        o_orderpriority as label, cast(o_orderkey % 10 / 10e0 as double) as weight from {orders}""",
+    "connects": "select 'customer_' || cast(o_custkey as string) as entity_id, 'order_' || cast(o_orderkey as string) as edge_id from {orders}",
+    "binds": "select distinct 'order_' || cast(l_orderkey as string) as edge_id, 'part_' || cast(l_partkey as string) as entity_id from {lineitem}",
     "node_type": "select * from (values ('concept'), ('person'), ('source'), ('project'), ('insight'), ('question'), ('practice'), ('place'), ('method'), ('tool')) as t(node_type)",
     "edge_kind": """select * from (values ('LEARNED_FROM'), ('INSPIRED_BY'), ('CONFLICTS_WITH'), ('SUPPORTS'), ('PART_OF'), ('PRACTICED_IN'),
         ('ASKED_ABOUT'), ('ANSWERS'), ('IMPLEMENTS'), ('REQUIRES')) as t(edge_kind)""",
     "rel": "select src, dst, edge_type, confidence, evidence from {edge} where edge_type <> 'BOGUS'",
     "community": """select e.src as entity_id, cast(substr(e.dst, 8) as int) as community_id from {edge} e where e.edge_type = 'PART_OF' and e.dst like 'nation_%'""",
-    "doc": """select cast(d.doc_id as string) as doc_id, d.text as body, d.lang as title, d.source as source_uri,
+    "doc": """select cast(d.doc_id as string) as doc_id, d.text as body, d.lang as title, d.source || '/' || cast(d.doc_id as string) as source_uri,
         case when l.toxic = 1 then 'private' else 'public' end as sensitivity from {documents} d left join {labels} l on d.doc_id = l.doc_id""",
     "vector": "select 'vec_' || cast(vec_id as string) as id, embedding, label as community_id from {embeddings}",
-    "asked": "select item_id as query_id, text from {benchmark} where item_id % 4 = 0",
+    "asked": "select item_id as query_id, text from {benchmark}",
 }
 
 
@@ -116,7 +116,8 @@ class Bed:
 
     def _stored(self, name: str, made: DataFrame) -> DataFrame:
         """The table as written once per application, as a graph's tables are."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        stamp = str(sorted(f for t in sorted(set(re.findall(r"\{(\w+)\}", TABLES[name]))) for f in getattr(self, t).inputFiles())) if name not in BASE else ""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name + stamp)
         if key not in _WRITTEN:
             _WRITTEN[key] = materialize(made, f"bed-{name}")
         return _WRITTEN[key]
@@ -125,12 +126,15 @@ class Bed:
     def chunk(self) -> DataFrame:
         from loomgraph.functions.text import chunk_documents
 
-        return chunk_documents(self.doc, "doc_id", "body").join(self.doc.drop("body"), "doc_id")
+        return chunk_documents(self.doc, "doc_id", "body", uri_col="source_uri").join(self.doc.drop("body"), "doc_id")
 
 
 #: DuckDB's chunk table; Spark builds its own with the chunking operator.
-CHUNK = """select d.doc_id || ':' || cast(i as string) as id, d.doc_id, cast(i as int) as chunk_index, substr(d.body, i * 800 + 1, 1000) as body,
-    d.title, d.source_uri, d.sensitivity from {doc} d, unnest(range(cast(ceil(length(d.body) / 800.0) as int))) as r(i) where trim(d.body) <> ''"""
+_SHA = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(d.source_uri || ':' || cast(i as string)))"
+CHUNK = rf"""select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id,
+    doc_id, chunk_index, body, title, source_uri, sensitivity from (
+    select {_SHA} as h, d.doc_id, cast(i as int) as chunk_index, substr(d.body, i * 800 + 1, 1000) as body, d.title, d.source_uri, d.sensitivity
+    from {{doc}} d, unnest(range(cast(ceil(length(d.body) / 800.0) as int))) as r(i) where not regexp_full_match(d.body, '[\s\x0B\x1c-\x1f\x85\pZ]*')) hashed"""
 
 
 def with_tables(sql: str) -> str:

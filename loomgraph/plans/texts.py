@@ -13,7 +13,7 @@ from loomgraph.plans.testbed import Bed
 
 @query("chunk_documents", "select id, doc_id, chunk_index, body from chunk")
 def _(b: Bed) -> DataFrame:
-    return tx.chunk_documents(b.doc, "doc_id", "body")
+    return tx.chunk_documents(b.doc, "doc_id", "body", uri_col="source_uri")
 
 
 @query("html_to_text", r"select page_id, url, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) as text from pages")
@@ -34,15 +34,15 @@ def _(b: Bed) -> DataFrame:
 def _notes(b: Bed) -> DataFrame:
     """Documents written up as notes: a head with tags, links and inline tags in the body."""
     head = F.concat(F.lit("---\nTitle: \"Note "), F.col("doc_id"), F.lit("\"\ntags: [#"), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]\nstatus: draft\n---\n"))
-    body = F.concat(F.substring("text", 1, 60), F.lit(" [["), F.col("source"), F.lit("]] and [[n"), F.col("doc_id"), F.lit("|shown]] #Topic/"), F.col("lang"), F.lit(" a#b"))
-    return b.documents.where("doc_id % 3 = 0").select("doc_id", F.concat(head, body).alias("text"), "lang", "source", F.col("text").alias("raw"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" [["), F.col("source"), F.lit("]] and [[n"), F.col("doc_id"), F.lit("|shown]] #Topic/"), F.col("lang"), F.lit(" a#b"))
+    return b.documents.select("doc_id", F.concat(head, body).alias("text"), "lang", "source", F.col("text").alias("raw"))
 
 
 _NOTE = """(select doc_id, lang, source, '---' || chr(10) || 'Title: "Note ' || doc_id || '"' || chr(10) || 'tags: [#' || lang || ', ' || source || ']' || chr(10) || 'status: draft' || chr(10) || '---' || chr(10)
-    || substr(text, 1, 60) || ' [[' || source || ']] and [[n' || doc_id || '|shown]] #Topic/' || lang || ' a#b' as text from documents where doc_id % 3 = 0) note"""
+    || coalesce(text, '') || ' [[' || source || ']] and [[n' || doc_id || '|shown]] #Topic/' || lang || ' a#b' as text from documents) note"""
 
 
-@query("frontmatter", f"select doc_id, regexp_extract(text, 'Title: \"(.*)\"', 1) as title, regexp_extract(text, 'status: (\\w+)', 1) as status, 3 as keys, trim(substr(text, instr(substr(text, 4), '---') + 6), chr(10) || ' ') as body from {_NOTE}")
+@query("frontmatter", f"select doc_id, regexp_extract(text, 'Title: \"(.*)\"', 1) as title, regexp_extract(text, 'status: (\\w+)', 1) as status, cast(len(list_filter(string_split(regexp_extract(text, '^---([^-]*)---', 1), chr(10)), lambda x: contains(x, ':'))) as integer) as keys, trim(substr(text, instr(substr(text, 4), '---') + 6), chr(10) || chr(13) || chr(9) || ' ') as body from {_NOTE}")
 def _(b: Bed) -> DataFrame:
     found = _notes(b).withColumn("f", tx.frontmatter(F.col("text")))
     one = lambda k: F.element_at(F.col("f")[k], 1)
@@ -56,7 +56,7 @@ def _(b: Bed) -> DataFrame:
 
 @query(
     "tags",
-    rf"""select doc_id, array_to_string(list_sort(list_distinct(list_concat([lang, source], regexp_extract_all(text, '(?:^|\s)#([a-zA-Z][a-zA-Z0-9_/-]*)', 1)))), ',') as tags from {_NOTE}""",
+    rf"""select doc_id, array_to_string(list_sort(list_distinct(list_concat([lang, source], regexp_extract_all(text, '(?:^|[\s\x0B])#([a-zA-Z][a-zA-Z0-9_/-]*)', 1)))), ',') as tags from {_NOTE}""",
 )
 def _(b: Bed) -> DataFrame:
     return _notes(b).select("doc_id", F.array_join(tx.tags(F.col("text")), ",").alias("tags"))
@@ -64,7 +64,7 @@ def _(b: Bed) -> DataFrame:
 
 @query(
     "note_entities",
-    rf"""with tag as (select distinct unnest(list_concat([lang, source], regexp_extract_all(text, '(?:^|\s)#([a-zA-Z][a-zA-Z0-9_/-]*)', 1))) as t, doc_id from {_NOTE}),
+    rf"""with tag as (select distinct unnest(list_concat([lang, source], regexp_extract_all(text, '(?:^|[\s\x0B])#([a-zA-Z][a-zA-Z0-9_/-]*)', 1))) as t, doc_id from {_NOTE}),
       link as (select distinct unnest(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1)) as t, doc_id from {_NOTE})
     select 'tag_' || trim(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '_') as id, t as label, 'obsidian_tag' as provenance, count(*) as notes from tag group by t
     union all select 'wikilink_' || substr(sha256(t), 1, 16), t, 'wikilink', count(*) from link group by t""",
@@ -114,13 +114,13 @@ def link_entities(chunks: DataFrame, surfaces: DataFrame) -> DataFrame:
 
 @query(
     "link_entities",
-    r"""with s as (select cast(doc_id as varchar) as doc_id, 'w' || cast(w as varchar) as entity_id, lower(regexp_extract_all(text, '[A-Za-z]{3,}')[w]) as surface from documents, unnest([1, 5, 9]) as u(w) where lang = 'en')
-    select distinct c.id as chunk_id, s.entity_id from chunk c join s using (doc_id) where s.surface is not null and s.surface <> '' and regexp_matches(lower(c.body), '(?:^|[^\p{L}\p{N}_])' || s.surface || '(?:$|[^\p{L}\p{N}_])')""",
+    r"""with s as (select cast(doc_id as varchar) as doc_id, 'w' || cast(w as varchar) as entity_id, lower(regexp_extract_all(text, '[A-Za-z]{3,}')[w]) as surface from documents, unnest([1, 5, 9]) as u(w))
+    select distinct c.id as chunk_id, s.entity_id from chunk c join s using (doc_id) where s.surface is not null and s.surface <> '' and regexp_matches(lower(c.body), '(?:^|[^\p{L}\p{N}\p{M}_])' || s.surface || '(?:$|[^\p{L}\p{N}\p{M}_])')""",
 )
 def _(b: Bed) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
-    english = b.documents.where("lang = 'en'").select(F.col("doc_id").cast("string").alias("doc_id"), words.alias("w"), F.explode(F.array(F.lit(1), F.lit(5), F.lit(9))).alias("k"))
-    surfaces = english.select(F.concat(F.lit("w"), F.col("k").cast("string")).alias("entity_id"), "doc_id", F.lower(F.try_element_at("w", F.col("k"))).alias("surface")).where("surface is not null")
+    picked = b.documents.select(F.col("doc_id").cast("string").alias("doc_id"), words.alias("w"), F.explode(F.array(F.lit(1), F.lit(5), F.lit(9))).alias("k"))
+    surfaces = picked.select(F.concat(F.lit("w"), F.col("k").cast("string")).alias("entity_id"), "doc_id", F.lower(F.try_element_at("w", F.col("k"))).alias("surface")).where("surface is not null")
     return link_entities(b.chunk, surfaces)
 
 
