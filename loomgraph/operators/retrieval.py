@@ -6,13 +6,17 @@ query_id, so one job answers them all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.words import stem, terms
+from loomgraph.session import materialize, ship_package
+
 K1, B = 1.2, 0.75
 RRF = 60
 LEG = 50
@@ -20,32 +24,63 @@ LEG = 50
 BLOCK, BROADCAST_BYTES = 1024, 64 << 20
 
 
-def terms(text: Column) -> Column:
-    """Lower-case runs of letters a-z and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+@dataclass
+class TextIndex:
+    """Postings (term, id, tf) sorted by term, lengths (id, len), and the corpus' totals: what BM25 reads."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    count: int
+    mean: float
+    stopwords: tuple[str, ...]
+    stemmed: bool
+
+    def terms_of(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term): distinct terms of (query_id, text)."""
+        asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text"), self.stopwords))).alias("term"))
+        return asked.withColumn("term", stem(F.col("term"))).distinct() if self.stemmed else asked
+
+
+def text_index(chunks: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("body",), stopwords: tuple[str, ...] = (), stemmed: bool = False) -> TextIndex:
+    """Index the texts once, as a store does when it is written; searches then read the postings of their terms only.
+
+    The columns count as one text. Postings are written in ranges of terms, so that files
+    of other terms are skipped.
+    """
+    spark = chunks.sparkSession
+    words = chunks.select(F.col(id_col).alias("id"), terms(F.concat_ws(" ", *text_cols), stopwords).alias("w"))
+    lengths = materialize(words.select("id", F.size("w").alias("len")), "index-lengths")
+    found = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    if stemmed:
+        ship_package(spark)
+        found = materialize(found, "index-words")
+        stems = materialize(found.select("term").distinct().withColumn("stem", stem(F.col("term"))), "index-stems")
+        found = found.join(stems, "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"))
+    ordered = found.repartitionByRange(F.col("term"), F.col("id")).sortWithinPartitions("term")
+    count, mean = lengths.agg(F.count("*"), F.avg("len")).first()
+    return TextIndex(materialize(ordered, "index-postings"), lengths, count or 0, float(mean or 1.0) or 1.0, stopwords, stemmed)
 
 
-def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "body") -> DataFrame:
-    """(term, id, tf, len): how often each chunk has each term. Bucket or partition by term to keep."""
-    words = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
-    return words.select("id", "len", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+#: Query terms up to which postings are chosen by a list of terms in the scan's filter.
+LISTED_TERMS = 2_000
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = LEG, id_col: str = "id", text_col: str = "body") -> DataFrame:
-    """(query_id, id, score, rank): the k best chunks by BM25 over the queries' distinct terms.
+def bm25(index: TextIndex, queries: DataFrame, k: int = LEG, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k best texts by BM25 over the queries' distinct terms.
 
-    Only postings of terms that some query has are built: the terms filter chunks' words
-    before they are counted. Scores are rounded to nine places; ties go to the smaller id.
+    among: (id) of the texts that may be found; document frequencies stay those of the
+    index. Scores are rounded to nine places; ties go to the smaller id.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    words = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
-    n, mean = words.agg(F.count("*"), F.avg("len")).first()
+    asked = index.terms_of(queries)
     used = asked.select("term").distinct()
-    found = words.select("id", "len", F.explode("w").alias("term")).join(used, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    listed = [r.term for r in used.limit(LISTED_TERMS + 1).collect()]
+    found = index.postings.where(F.col("term").isin(listed)) if len(listed) <= LISTED_TERMS else index.postings.join(used, "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean or 1.0))))
-    scored = found.join(df, "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(idf * gain), 9).alias("score"))
+    idf = F.log((F.lit(float(index.count)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighed = asked.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    hits = found if among is None else found.join(among.select("id"), "id", "left_semi")
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.mean)))
+    scored = hits.join(index.lengths, "id").select("term", "id", gain.alias("gain")).join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("gain")), 9).alias("score"))
     return top_by(scored, "score", k)
 
 
@@ -66,7 +101,8 @@ def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, l
 
     vectors: (id, embedding); queries: (query_id, embedding). With k, the k best of each
     query per task (a superset of the k best overall); with least, those at or above it.
-    The queries are broadcast in slices of at most BROADCAST_BYTES; slices are hashed.
+    The queries are broadcast in slices of at most BROADCAST_BYTES, one after another; slices
+    are hashed.
     """
     spark = vectors.sparkSession
     unit_queries = queries.where("embedding is not null").select("query_id", unit("embedding").alias("v"))
@@ -77,6 +113,7 @@ def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, l
     if not count or not width:
         return spark.createDataFrame([], schema)
     slices = -(-count * width * 8 // BROADCAST_BYTES)
+    ship_package(spark)
     base = vectors.where("embedding is not null").select("id", unit("embedding").alias("v"))
     out = None
     for number in range(slices):
@@ -93,24 +130,41 @@ def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, l
 def _scan(block, k: int | None, least: float | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = block.value
+        best = None if k is None else np.full((len(ids), k), -np.inf)
+        held: list[tuple] = []
         for batch in batches:
             if batch.empty:
                 continue
             vectors, names = np.vstack(batch["v"].to_list()), batch["id"].to_numpy()
             for start in range(0, len(ids), BLOCK):
                 score = matrix[start : start + BLOCK] @ vectors.T
-                if least is not None:
-                    q, c = np.nonzero(score >= least - 1e-9)
-                elif k is not None and score.shape[1] > k:
-                    cut = np.partition(score, -k, axis=1)[:, -k]
-                    q, c = np.nonzero(score >= cut[:, None] - 1e-9)
-                else:
-                    q, c = np.indices(score.shape).reshape(2, -1)
+                if best is not None:  # the k best so far in this task; what is below them is left out
+                    own = best[start : start + BLOCK]
+                    own[:] = -np.partition(-np.hstack([own, score]), k - 1, axis=1)[:, :k]
+                    floor = own.min(axis=1)
+                    if least is not None:
+                        floor = np.maximum(floor, least)
+                    q, c = np.nonzero(score >= floor[:, None] - 1e-9)
+                    held.append((start + q, names[c], score[q, c]))
+                    continue
+                q, c = np.nonzero(score >= least - 1e-9) if least is not None else np.indices(score.shape).reshape(2, -1)
                 yield pd.DataFrame({"query_id": ids[start + q], "id": names[c], "similarity": score[q, c]})
+            if best is not None and sum(len(h[0]) for h in held) > 4 * best.size + 4096:
+                held = [_still(held, best)]
+        if best is not None and held:
+            q, names, score = _still(held, best)
+            yield pd.DataFrame({"query_id": ids[q], "id": names, "similarity": score})
 
     return run
 
 
+def _still(held: list[tuple], best: np.ndarray) -> tuple:
+    """What is held of candidates and still among the k best, ties included."""
+    q, names, score = (np.concatenate(x) for x in zip(*held))
+    keep = score >= best[q].min(axis=1) - 1e-9
+    return q[keep], names[keep], score[keep]
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = LEG) -> DataFrame:
     """(query_id, id, similarity, distance, rank): the k nearest by cosine."""
     found = top_by(similarities(vectors, queries, k=k), "similarity", k)
@@ -159,3 +213,88 @@ def hash_embed(df: DataFrame, text_col: str, width: int = 64) -> DataFrame:
     cells = F.transform(terms(F.col(text_col)), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(width)).alias("i"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
     at = lambda i: F.aggregate(F.filter("_cells", lambda c: c["i"] == i), F.lit(0.0), lambda s, c: s + c["s"])
     return df.withColumn("_cells", cells).withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: at(i).cast("float"))).drop("_cells")
+
+
+def letter_embed(df: DataFrame, text_col: str) -> DataFrame:
+    """An embedding any engine can make: how often each letter a to z stands in the text. Adds `embedding`."""
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    count = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c)))).cast("double")
+    return df.withColumn("embedding", F.array(*[count(chr(97 + i)) for i in range(26)]))
+
+
+def recall_at_k(asked: DataFrame, top: DataFrame) -> DataFrame:
+    """(category, queries, recall) of each category and of 'all'.
+
+    asked: (query_id, category, expected array<string>); top: (query_id, rank, body, path). A
+    query is hit if at least max(1, n // 2) of its n expected texts stand in the found ones.
+    """
+    seen = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.lower(F.concat_ws(" ", "body", "path")).alias("t")))).alias("s"))
+    seen = seen.select("query_id", F.array_join(F.transform("s", lambda x: x["t"]), " ").alias("seen"))
+    wanted = F.filter("expected", lambda x: x != "")
+    met = asked.join(seen, "query_id", "left").select("category", F.size(wanted).alias("n"), F.size(F.filter(wanted, lambda x: F.contains(F.coalesce("seen", F.lit("")), x))).alias("met"))
+    hit = met.withColumn("hit", (F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2))).cast("int"))
+    row = [F.count("*").alias("queries"), F.round(F.avg("hit"), 6).alias("recall")]
+    return hit.groupBy("category").agg(*row).unionByName(hit.agg(*row).select(F.lit("all").alias("category"), "queries", "recall"))
+
+
+#: An embedder adds the column `embedding` to a table with a text column.
+Embedder = Callable[[DataFrame, str], DataFrame]
+
+
+def vector_cells(vectors: DataFrame, cells: int = 64, sample: int = 8192, rounds: int = 8, seed: int = 3) -> tuple[DataFrame, np.ndarray]:
+    """An index for approximate search: (id, v, cell) written by cell, and the cells' centres.
+
+    Unit vectors go to the nearest of `cells` centres, which spherical k-means finds on at
+    most `sample` vectors chosen by a hash of the id. Every vector is indexed.
+    """
+    base = vectors.where("embedding is not null").select("id", unit("embedding").alias("v"))
+    few = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toPandas()
+    if few.empty:
+        return base.withColumn("cell", F.lit(0)), np.zeros((0, 0))
+    x = np.vstack(few["v"].to_list())
+    centres = x[: min(cells, len(x))].copy()
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        for c in range(len(centres)):
+            if (near == c).any():
+                total = x[near == c].sum(axis=0)
+                centres[c] = total / max(np.linalg.norm(total), 1e-12)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                yield batch.assign(cell=(np.vstack(batch["v"].to_list()) @ centres.T).argmax(axis=1).astype("int32"))
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    placed = base.mapInPandas(assign, f"id {kind}, v array<double>, cell int")
+    return materialize(placed.repartition("cell"), "vector-cells"), centres
+
+
+def near_cells(index: tuple[DataFrame, np.ndarray], queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+    """(query_id, id, similarity, rank): the k nearest among the `probes` cells nearest to each query; approximate."""
+    table, centres = index
+    kind, id_kind = queries.schema["query_id"].dataType.simpleString(), table.schema["id"].dataType.simpleString()
+    asked = queries.where("embedding is not null").select("query_id", unit("embedding").alias("q"))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                order = np.argsort(-(np.vstack(batch["q"].to_list()) @ centres.T), axis=1)[:, :probes]
+                yield batch.assign(cell=list(order.astype("int32"))).explode("cell").astype({"cell": "int32"})
+
+    routed = asked.mapInPandas(probe, f"query_id {kind}, q array<double>, cell int")
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        vectors, names, out = np.vstack(right["v"].to_list()), right["id"].to_numpy(), []
+        for start in range(0, len(left), BLOCK):
+            part = left.iloc[start : start + BLOCK]
+            score = np.vstack(part["q"].to_list()) @ vectors.T
+            floor = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
+            q, c = np.nonzero(score >= floor[:, None] - 1e-9)
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "id": names[c], "similarity": score[q, c]}))
+        return pd.concat(out)
+
+    found = routed.groupBy("cell").cogroup(table.groupBy("cell")).applyInPandas(search, f"query_id {kind}, id {id_kind}, similarity double")
+    return top_by(found.withColumn("similarity", F.round("similarity", 9)), "similarity", k)

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.plans.ontology import Ontology, grade_violations
+from loomgraph.operators.ontology import Ontology, grade_violations
 
 
 def upsert_entities(stored: DataFrame, incoming: DataFrame, now: int, order: str = "updated_at") -> DataFrame:

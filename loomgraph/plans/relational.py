@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators import graph, health, writes
-from loomgraph.plans import ontology as onto
+from loomgraph.operators import ontology as onto
 from loomgraph.plans.catalog import query
 from loomgraph.plans.testbed import EPOCH, Bed
 

@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import snippet
-from loomgraph.operators import graph
+from loomgraph.functions.words import STOPWORDS
+from loomgraph.operators import graph, search
 from loomgraph.operators import retrieval as rt
 from loomgraph.plans.catalog import query
 from loomgraph.plans.relational import labelled
 from loomgraph.plans.testbed import Bed
 
-_BM25 = """asked_term as (select distinct query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from asked),
-    word as (select id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) as term from chunk where sensitivity = 'public'),
-    size as (select id, len(regexp_extract_all(lower(body), '[a-z0-9]+')) as len from chunk where sensitivity = 'public'),
-    corpus as (select count(*)::double as n, avg(len) as mean from size),
-    tf as (select term, id, count(*) as tf from word where term in (select term from asked_term) group by term, id),
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+_TERMS = "list_filter(regexp_extract_all(lower(strip_accents({0})), '[a-z]+'), lambda t: t not in (" + _STOP + "))"
+_BM25 = f"""asked_term as (select distinct query_id, unnest({_TERMS.format("text")}) as term from asked),
+    words as (select id, {_TERMS.format("concat_ws(' ', body, title)")} as w from chunk where sensitivity = 'public'),
+    corpus as (select count(*)::double as n, avg(len(w)) as mean from words),
+    tf as (select term, id, any_value(len) as len, count(*) as tf from (select id, len(w) as len, unnest(w) as term from words) where term in (select term from asked_term) group by term, id),
     df as (select term, count(*) as df from tf group by term),
     scored as (select query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 9) as score
-      from tf join df using (term) join asked_term using (term) join size using (id), corpus group by query_id, id),
+      from tf join df using (term) join asked_term using (term), corpus group by query_id, id),
     bm as (select query_id, id, score, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from scored qualify rank <= 50)"""
 
 
@@ -29,7 +31,13 @@ def public_chunks(b: Bed) -> DataFrame:
 
 @query("bm25_topk", f"with {_BM25} select query_id, id, round(score, 6) as score, rank from bm")
 def _(b: Bed) -> DataFrame:
-    return rt.bm25(public_chunks(b), b.asked).withColumn("score", F.round("score", 6))
+    return rt.bm25(b.public_index, b.asked).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_stemmed")
+def _(b: Bed) -> DataFrame:
+    """As bm25_topk, over Porter stems."""
+    return rt.bm25(b.stemmed_index, b.asked).withColumn("score", F.round("score", 6))
 
 
 _COS = "list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 0)"
@@ -43,9 +51,9 @@ _NEAR = f"""near as (select q.id as query_id, v.id, {_cosine("q.embedding", "v.e
     knn as (select query_id, id, similarity, cast(row_number() over (partition by query_id order by similarity desc, id) as integer) as rank from near qualify rank <= 50)"""
 
 
-@query("vector_topk", f"with {_NEAR} select query_id, id, round(similarity, 6) as similarity, rank from knn where query_id like '%0' and rank <= 10")
+@query("vector_topk", f"with {_NEAR} select query_id, id, round(similarity, 6) as similarity, rank from knn where rank <= 10")
 def _(b: Bed) -> DataFrame:
-    asked = b.vector.where("id like '%0'").select(F.col("id").alias("query_id"), "embedding")
+    asked = b.vector.select(F.col("id").alias("query_id"), "embedding")
     return rt.vector_search(b.vector, asked, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -55,28 +63,22 @@ def _(b: Bed) -> DataFrame:
     return found.select("id", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"), "rank")
 
 
-#: Chunk i of the testbed's document d stands next to vector d, so that both legs name chunks.
-_CHUNK_VECTOR = "select 'vec_' || doc_id as vid, id from chunk where chunk_index = 0 and sensitivity = 'public'"
-_HYBRID = f"""{_BM25}, {_NEAR},
-    leg as (select cast(substr(k.query_id, 5) as bigint) as query_id, c.id, cast(row_number() over (partition by k.query_id order by k.rank) as integer) as rank
-      from knn k join ({_CHUNK_VECTOR}) c on c.vid = k.id where cast(substr(k.query_id, 5) as bigint) in (select query_id from asked)),
+_LETTERS = ", ".join(f"(length({{0}}) - length(replace({{0}}, '{chr(97 + i)}', '')))::double" for i in range(26))
+_HYBRID = f"""{_BM25},
+    cv as (select id, [{_LETTERS.format("lower(body)")}] as e from chunk where sensitivity = 'public'),
+    qv as (select query_id, [{_LETTERS.format("lower(text)")}] as e from asked),
+    leg as (select query_id, id, cast(row_number() over (partition by query_id order by similarity desc, id) as integer) as rank
+      from (select q.query_id, c.id, round(coalesce({_COS.format(a="q.e", b="c.e")}, 0), 9) as similarity from qv q, cv c) qualify rank <= 50),
     fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.id, b.id) as id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9)::double as score,
       case when a.id is not null and b.id is not null then 'both' when a.id is not null then 'keyword' else 'semantic' end as match
       from bm a full outer join leg b on a.query_id = b.query_id and a.id = b.id),
     hybrid as (select *, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from fused qualify rank <= 12)"""
 
 
-def semantic_leg(b: Bed) -> DataFrame:
-    asked = b.vector.join(b.asked.select(F.concat(F.lit("vec_"), "query_id").alias("id"), "query_id"), "id").select("query_id", "embedding")
-    near = rt.vector_search(b.vector, asked, rt.LEG)
-    first = public_chunks(b).where("chunk_index = 0").select(F.concat(F.lit("vec_"), "doc_id").alias("vid"), F.col("id").alias("chunk_id"))
-    met = near.join(first, near.id == first.vid).select("query_id", F.col("chunk_id").alias("id"), (-F.col("rank")).alias("s"))
-    return rt.top_by(met, "s", rt.LEG)
-
-
 def hybrid(b: Bed, limit: int = 12) -> DataFrame:
-    """Both legs over public chunks only, fused."""
-    return rt.fuse(rt.bm25(public_chunks(b), b.asked), semantic_leg(b), limit)
+    """Both legs over public chunks only, fused; every public chunk stands in both."""
+    asked = rt.letter_embed(b.asked, "text").select("query_id", "embedding")
+    return rt.fuse(rt.bm25(b.public_index, b.asked), rt.vector_search(b.chunk_vectors, asked, rt.LEG), limit)
 
 
 @query("hybrid_rrf", f"with {_HYBRID} select query_id, id, score, match, rank from hybrid")
@@ -97,13 +99,18 @@ def _(b: Bed) -> DataFrame:
     )
 
 
-@query("recall_at_k", f"""with {_HYBRID}, hit as (select a.query_id, max(case when contains(lower(c.body), lower(substr(a.text, 1, 30))) then 1 else 0 end) as hit from asked a left join hybrid h on h.query_id = a.query_id and h.rank <= 5 left join chunk c on c.id = h.id group by a.query_id)
-    select query_id % 3 as category, count(*) as queries, round(avg(hit), 6) as recall from hit group by query_id % 3""")
+_EXPECTED = "[lower(substr(a.text, 1, 30)), lower(substr(a.text, 31, 30)), lower(substr(a.text, 61, 30))]"
+
+
+@query("recall_at_k", f"""with {_HYBRID}, top as (select query_id, string_agg(lower(c.body) || ' ' || lower(c.source_uri), ' ' order by h.rank) as seen from hybrid h join chunk c on c.id = h.id where h.rank <= 5 group by query_id),
+    hit as (select a.query_id, len(list_filter({_EXPECTED}, lambda x: x <> '')) as n, len(list_filter({_EXPECTED}, lambda x: x <> '' and contains(coalesce(t.seen, ''), x))) as met from asked a left join top t using (query_id))
+    select cast(query_id % 3 as varchar) as category, count(*) as queries, round(avg(case when met >= greatest(1, n // 2) then 1 else 0 end), 6) as recall from hit group by query_id % 3
+    union all select 'all', count(*), round(avg(case when met >= greatest(1, n // 2) then 1 else 0 end), 6) from hit""")
 def _(b: Bed) -> DataFrame:
-    top = hybrid(b).where("rank <= 5").join(b.chunk.select("id", "body"), "id").select("query_id", F.lower("body").alias("body"))
-    met = b.asked.join(top, "query_id", "left").withColumn("hit", F.coalesce(F.contains("body", F.lower(F.substring("text", 1, 30))).cast("int"), F.lit(0)))
-    by = met.groupBy("query_id").agg(F.max("hit").alias("hit"))
-    return by.groupBy((F.col("query_id") % 3).alias("category")).agg(F.count("*").alias("queries"), F.round(F.avg("hit"), 6).alias("recall"))
+    top = hybrid(b).where("rank <= 5").join(b.chunk.select("id", "body", "source_uri"), "id")
+    part = lambda i: F.lower(F.substring("text", 30 * i + 1, 30))
+    asked = b.asked.select("query_id", (F.col("query_id") % 3).cast("string").alias("category"), F.array(part(0), part(1), part(2)).alias("expected"))
+    return rt.recall_at_k(asked, top.select("query_id", "rank", "body", F.col("source_uri").alias("path")))
 
 
 _ENTITY_LEGS = f"""{_NEAR}, kw as (select 1 as query_id, 'vec_' || cast(row_number() over (order by confidence desc, id) * 3 as varchar) as id, cast(row_number() over (order by confidence desc, id) as integer) as rank
@@ -187,3 +194,15 @@ def _(b: Bed) -> DataFrame:
         found.join(kind.withColumnRenamed("id", "src"), "src").join(kind.select(F.col("id").alias("dst"), F.col("entity_type").alias("other_type")), "dst")
         .groupBy("entity_type", "other_type").agg(F.count("*").alias("n"))
     )
+
+
+@query("search_modes")
+def _(b: Bed) -> DataFrame:
+    """One question in each mode of the search."""
+    texts = b.asked.orderBy("query_id").limit(3)
+    engine = search.Searcher(b.entity, b.edge, b.chunk, b.public_index, b.chunk_vectors, rt.letter_embed)
+    out = None
+    for mode in search.MODES:
+        one = engine.search(texts, mode, limit=5).select(F.lit(mode).alias("mode"), "query_id", F.col("id").cast("string").alias("id"), "score", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out

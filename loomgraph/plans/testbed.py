@@ -128,6 +128,38 @@ class Bed:
 
         return chunk_documents(self.doc, "doc_id", "body", uri_col="source_uri").join(self.doc.drop("body"), "doc_id")
 
+    def _once(self, name: str, make):
+        """What a store keeps beside its tables, made once per application and input files."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name + str(sorted(self.documents.inputFiles())))
+        if key not in _WRITTEN:
+            _WRITTEN[key] = make()
+        return _WRITTEN[key]
+
+    @cached_property
+    def public_index(self):
+        """The text index over public chunks, body and title, without stop words."""
+        from loomgraph.functions.words import STOPWORDS
+        from loomgraph.operators.retrieval import text_index
+
+        public = self.chunk.where("sensitivity = 'public'")
+        return self._once("index", lambda: text_index(public, text_cols=("body", "title"), stopwords=STOPWORDS))
+
+    @cached_property
+    def stemmed_index(self):
+        from loomgraph.functions.words import STOPWORDS
+        from loomgraph.operators.retrieval import text_index
+
+        public = self.chunk.where("sensitivity = 'public'")
+        return self._once("stems", lambda: text_index(public, text_cols=("body", "title"), stopwords=STOPWORDS, stemmed=True))
+
+    @cached_property
+    def chunk_vectors(self) -> DataFrame:
+        """(id, embedding) of public chunks."""
+        from loomgraph.operators.retrieval import letter_embed
+
+        public = self.chunk.where("sensitivity = 'public'")
+        return self._once("vectors", lambda: materialize(letter_embed(public, "body").select("id", "embedding"), "bed-chunk-vectors"))
+
 
 #: DuckDB's chunk table; Spark builds its own with the chunking operator.
 _SHA = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(d.source_uri || ':' || cast(i as string)))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as tx
 from loomgraph.plans.catalog import query
-from loomgraph.plans.ontology import Ontology
+from loomgraph.operators.ontology import Ontology
 from loomgraph.plans.testbed import Bed
 
 
