@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import slugify
+from loomgraph.functions.text import short_hash, slugify
+from loomgraph.operators.ontology import Ontology
 
 SCHEMA = """struct<entities: array<struct<name: string, label: string, entity_type: string, type: string, confidence: string, description: string>>,
   edges: array<struct<source: string, target: string, edge_type: string, type: string, confidence: string, evidence: string>>, _error: string>"""
@@ -70,6 +73,88 @@ def co_occurrence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return long.select(id_col, F.struct(ents.alias("entities"), links.alias("edges")).alias("result"), F.lit(None).cast("string").alias("error"))
 
 
+LEAST_CHARS, MOST_CHARS = 20, 4000
+
+#: An extractor makes (doc_id, result, error) of (doc_id, text); a model's answers go through `parse`.
+Extractor = Callable[[DataFrame], DataFrame]
+
+
+def answers_extractor(ask: Callable[[str], str], ontology: Ontology | None = None) -> Extractor:
+    """An extractor over a function from prompt to answer, as a model's client would be; an exception is an error row.
+
+    Texts under LEAST_CHARS are skipped, and a prompt holds the first MOST_CHARS, as models take no more.
+    """
+    head = prompt_fragment(ontology or Ontology())
+
+    def run(batches):
+        for batch in batches:
+            said, wrong = [], []
+            for text in batch["text"]:
+                try:
+                    said.append(ask(f"{head}\n\n{(text or '')[:MOST_CHARS]}"))
+                    wrong.append(None)
+                except Exception as e:  # a call that fails costs one document only
+                    said.append(None)
+                    wrong.append(f"{type(e).__name__}: {e}")
+            yield batch[["doc_id"]].assign(answer=said, failed=wrong)
+
+    def extract(docs: DataFrame) -> DataFrame:
+        long = docs.where(F.length(F.trim(F.coalesce("text", F.lit("")))) >= LEAST_CHARS).select("doc_id", "text")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        made = parse(long.mapInPandas(run, f"doc_id {kind}, answer string, failed string"))
+        return made.select("doc_id", "result", F.coalesce("failed", "error").alias("error"))
+
+    return extract
+
+
+def prompt_fragment(ontology: Ontology) -> str:
+    """What a model is told of the types: entity types, edge types, and which ends the constrained ones take."""
+    lines = [f"Entity types: {', '.join(ontology.node_types)}", f"Edge types: {', '.join(ontology.edge_types)}"]
+    for edge, pairs in sorted(ontology.grades.items()):
+        left, right = ({p[i] for p in pairs} for i in (0, 1))
+        name = lambda side: "any" if side == set(ontology.node_types) else " | ".join(sorted(side))
+        lines.append(f"{edge}: {name(left)} -> {name(right)}")
+    return "\n".join(lines)
+
+
+def canonical_types(found: DataFrame, ontology: Ontology, column: str = "entity_type", other: str = "concept") -> DataFrame:
+    """Entity types as the ontology names them, by alias or case; unknown ones become `other`."""
+    return found.withColumn(column, F.coalesce(ontology.normal_node_type(F.col(column)), F.lit(other)))
+
+
+def note_graph(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and ASSOCIATED_WITH edges of notes (doc_id, title, tags, wikilinks): the note to its tags (0.8) and links (0.9)."""
+    tag = notes.select("doc_id", "title", F.explode("tags").alias("label")).withColumn("id", F.concat(F.lit("tag_"), slugify(F.col("label")))).withColumn("provenance", F.lit("obsidian_tag")).withColumn("confidence", F.lit(0.8))
+    link = notes.select("doc_id", "title", F.explode("wikilinks").alias("label")).withColumn("id", short_hash(F.col("label"), "wikilink_")).withColumn("provenance", F.lit("wikilink")).withColumn("confidence", F.lit(0.9))
+    every = tag.unionByName(link)
+    note = F.concat(F.lit("note_"), F.col("doc_id").cast("string"))
+    named = every.groupBy("id").agg(F.min("label").alias("label"), F.max("confidence").alias("confidence"), F.min("provenance").alias("provenance"))
+    own = notes.select(note.alias("id"), F.col("title").alias("label"), F.lit(1.0).alias("confidence"), F.lit("note").alias("provenance"))
+    edges = every.select(note.alias("src"), F.col("id").alias("dst"), F.lit("ASSOCIATED_WITH").alias("edge_type"), "confidence", "provenance").distinct()
+    return named.unionByName(own).withColumn("entity_type", F.lit("concept")), edges
+
+
+def connect_orphans(entities: DataFrame, edges: DataFrame, ask: Callable[[DataFrame], DataFrame], ontology: Ontology, most: int = 20) -> DataFrame:
+    """New edges for entities without any, as a supplied extractor proposes them from the entities of the same source.
+
+    ask takes (source_url, orphans array, candidates array) and gives (source_url, src, dst,
+    edge_type, evidence), at most `most` names a side reach it. Proposals pass the gates: known
+    type, an orphan at one end, both ends among the names. They get confidence 0.6 and provenance
+    orphan_connect.
+    """
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("linked", F.lit(True))
+    known = entities.where("source_url <> ''").join(linked, "id", "left")
+    by_source = known.groupBy("source_url").agg(
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("linked").isNull(), F.col("id")))), 1, most).alias("orphans"),
+        F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("candidates"),
+    ).where(F.size("orphans") > 0)
+    said = ask(by_source).join(by_source, "source_url")
+    good = said.where(ontology.known_edge(F.col("edge_type")) & (F.col("src") != F.col("dst")))
+    one = F.array_contains("orphans", F.col("src")) | F.array_contains("orphans", F.col("dst"))
+    inside = F.array_contains(F.array_union("orphans", "candidates"), F.col("src")) & F.array_contains(F.array_union("orphans", "candidates"), F.col("dst"))
+    return good.where(one & inside).select("src", "dst", "edge_type", F.lit(0.6).alias("confidence"), "evidence", F.lit("orphan_connect").alias("provenance")).distinct()
+
+
 def as_answers(docs: DataFrame) -> DataFrame:
     """Documents dressed as model answers: plain, fenced, with chatter around, and broken."""
     word = lambda n: F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lit(n)), F.lit(""))

@@ -61,6 +61,27 @@ def write_log_health(log: DataFrame, rejected: Column, now: Column) -> DataFrame
     )
 
 
+def queue_depth(queue: DataFrame) -> DataFrame:
+    """(pending, queue_status): lines that wait, and how that is to be seen."""
+    n = F.col("pending")
+    return queue.agg(F.count("*").alias("pending")).select("pending", band(n, (n >= 5000, "critical"), (n >= 1000, "warning"), other="ok").alias("queue_status"))
+
+
+def poll(entities: DataFrame, edges: DataFrame, log: DataFrame, rejected: Column, queue: DataFrame, now: Column) -> tuple[DataFrame, int]:
+    """(check, status) of every health figure, and the exit code of a poll: 0 ok, 1 warning, 2 critical."""
+    graph = graph_health(entities, edges)
+    connected = F.col("connected_pct")
+    hours = F.col("hours_since")
+    checks = graph.select(F.lit("orphans").alias("check"), F.col("orphan_status").alias("status"))
+    checks = checks.union(graph.select(F.lit("connected"), band(connected, (connected < 90, "critical"), (connected < 95, "warning"), other="ok")))
+    written = write_log_health(log, rejected, now)
+    checks = checks.union(written.select(F.lit("rejections"), "status"))
+    checks = checks.union(written.select(F.lit("enrichment"), band(hours, (hours >= 72, "critical"), (hours >= 24, "warning"), other="ok")))
+    checks = checks.union(queue_depth(queue).select(F.lit("queue"), "queue_status"))
+    worst = max(({"ok": 0, "warning": 1, "critical": 2}[r.status] for r in checks.collect()), default=0)  # five rows
+    return checks, worst
+
+
 def prune_summary(entities: DataFrame, top: int = 20) -> DataFrame:
     """Counts by type, by provenance, and by the `top` most frequent sources."""
     by = lambda name, column: entities.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "value", "n")

@@ -338,7 +338,7 @@ def _(b: Bed) -> DataFrame:
     return onto.evidence_warnings(b.edge)
 
 
-@query("shacl_report", f"""select component, severity, count(*) as n, bool_and(false) as conforms from ({_ENTITY_BAD} union all {_EDGE_BAD} union all {_GRADE_BAD} union all {_THIN}) v group by component, severity""")
+@query("shacl_report", f"""select component, severity, count(*) as n, (select count(*) = 0 from ({_ENTITY_BAD} union all {_EDGE_BAD} union all {_GRADE_BAD})) as conforms from ({_ENTITY_BAD} union all {_EDGE_BAD} union all {_GRADE_BAD} union all {_THIN}) v group by component, severity""")
 def _(b: Bed) -> DataFrame:
     found = onto.report(b.entity, b.edge, ONTOLOGY)
     whole = found.agg(F.coalesce(F.bool_and(F.col("severity") != "sh:Violation"), F.lit(True)).alias("conforms"))
@@ -377,7 +377,7 @@ def _(b: Bed) -> DataFrame:
     return writes.upsert_edges(b.edge.limit(0), b.edge, b.entity, ONTOLOGY).select("src", "dst", "edge_type", "confidence")
 
 
-@query("upsert_mentions", "select entity_id, doc_id, min(m.confidence) as confidence from (select * from mention union all select entity_id, doc_id, 0.95, source_url from mention) m join entity e on e.id = m.entity_id join documents d using (doc_id) group by entity_id, doc_id")
+@query("upsert_mentions", "select entity_id, doc_id, max(m.confidence) as confidence from (select * from mention union all select entity_id, doc_id, 0.95, source_url from mention) m join entity e on e.id = m.entity_id join documents d using (doc_id) group by entity_id, doc_id")
 def _(b: Bed) -> DataFrame:
     twice = b.mention.unionByName(b.mention.withColumn("confidence", F.lit(0.95)))
     return writes.upsert_mentions(twice, b.entity, b.documents).select("entity_id", "doc_id", "confidence")
@@ -424,3 +424,43 @@ def _(b: Bed) -> DataFrame:
     return b.events.groupBy("event_type").agg(F.max("ts").cast("timestamp_ntz").alias("last_ts"), F.count("*").alias("n"))
 
 
+@query("document_chunk_writes", """with old as (select id, doc_id, body, chunk_index from chunk where chunk_index < 2), again as (select id, doc_id, upper(body) as body, chunk_index from chunk where chunk_index = 1)
+    select * from old where id not in (select id from again) union all select * from again""")
+def _(b: Bed) -> DataFrame:
+    old = b.chunk.where("chunk_index < 2").select("id", "doc_id", "body", "chunk_index")
+    again = b.chunk.where("chunk_index = 1").select("id", "doc_id", F.upper("body").alias("body"), "chunk_index")
+    return writes.upsert_chunks(old, again)
+
+
+@query("set_entity_ids", """with ids as (select cast(doc_id as varchar) as doc_id, '["' || array_to_string(list_sort(list(distinct entity_id)), '","') || '"]' as entity_ids from mention group by doc_id)
+    select c.id, coalesce(i.entity_ids, '[]') as entity_ids from chunk c left join ids i on i.doc_id = c.doc_id and c.chunk_index = 0""")
+def _(b: Bed) -> DataFrame:
+    said = b.mention.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.collect_list("entity_id").alias("entity_ids"))
+    first = b.chunk.where("chunk_index = 0").select("id", "doc_id").join(said, "doc_id").select("id", "entity_ids")
+    return writes.set_entity_ids(b.chunk.select("id", F.lit("[]").alias("entity_ids")), first)
+
+
+@query("set_embedding", "select id, case when community_id % 2 = 0 then -embedding[1] else embedding[1] end::double as first_ from vector")
+def _(b: Bed) -> DataFrame:
+    held = b.vector.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    turned = b.vector.where("community_id % 2 = 0").select("id", F.transform("embedding", lambda x: -x.cast("double")).alias("embedding"))
+    return writes.set_embedding(held, turned, 64).select("id", F.element_at("embedding", 1).alias("first_"))
+
+
+@query("add_documents", "select 'doc/' || doc_id as id, min(lang) as title from documents group by doc_id union all select 'doc/x' || doc_id, min(lang) from documents where doc_id % 2 = 0 group by doc_id")
+def _(b: Bed) -> DataFrame:
+    row = lambda key: b.documents.select(F.concat(F.lit(key), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("path"), F.col("lang").alias("title"))
+    stored = row("doc/").dropDuplicates(["id"])
+    new = row("doc/").union(b.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("doc/x"), F.col("doc_id").cast("string")), "source", "lang"))
+    return writes.add_documents(stored, new).select("id", "title")
+
+
+@query("safe_to_delete", """with ends as (select id, count(*) as n from (select src as id from edge union all select dst from edge) group by id), told as (select entity_id as id, count(*) as n from mention group by entity_id)
+    select e.id, coalesce(x.n, 0) as edges, coalesce(t.n, 0) as mentions, coalesce(x.n, 0) + coalesce(t.n, 0) = 0 as safe from entity e left join ends x using (id) left join told t using (id)""")
+def _(b: Bed) -> DataFrame:
+    return writes.safe_to_delete(b.entity, b.edge, b.mention)
+
+
+@query("queue_health", """select count(*) as pending, case when count(*) >= 5000 then 'critical' when count(*) >= 1000 then 'warning' else 'ok' end as queue_status from events where event_type = 'view'""")
+def _(b: Bed) -> DataFrame:
+    return health.queue_depth(b.events.where("event_type = 'view'"))

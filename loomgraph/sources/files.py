@@ -64,13 +64,15 @@ def html_to_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path, doc_id, suffix, text) of the .txt, .md and .html files right in a folder."""
+    """(path, doc_id, suffix, text) of the .txt, .md and .html files right in a folder; doc_id hashes the full path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(root)
     read = files.select("path", F.lower(F.substring_index("path", ".", -1)).alias("suffix"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     plain = read.where("suffix <> 'html'").select("path", "suffix", "text")
     parsed = html_to_text(read.where("suffix = 'html'"), "path", "text").select(F.col("id").alias("path"), F.lit("html").alias("suffix"), "text")
-    return plain.unionByName(parsed).select("path", short_hash(F.col("path")).alias("doc_id"), "suffix", "text")
+    plain_path = F.regexp_replace("path", "^file:/+", "/")
+    return plain.unionByName(parsed).select("path", short_hash(plain_path).alias("doc_id"), "suffix", "text")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; a line that can't be read has nulls."""
     return spark.read.schema(schema).json(path)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.functions.text import chunk_documents
-from loomgraph.operators.writes import Store, replace_by_doc
+from loomgraph.operators.writes import Store
+from loomgraph.session import discard, materialize
 
 DOCUMENT = "doc_id string, text string"
 
@@ -27,21 +28,22 @@ def drain(frame: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], No
 
 
 def documents(spark: SparkSession, path: str, schema: str = DOCUMENT, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """The documents of new files, with the time their file was written."""
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return read.select("*", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_name").alias("file"))
 
 
 def ingest_chunks(spark: SparkSession, path: str, store: Store, checkpoint: str, table: str = "chunk", files_per_batch: int = 1000) -> StreamingQuery:
     """Chunk new documents into a stored table; a document that comes again replaces its chunks.
 
-    Of versions of a document within a batch the greatest text counts. Empty documents clear.
+    Of versions of a document within a batch the one that arrived last counts. Empty
+    documents clear. Only buckets with documents of the batch are written anew.
     """
 
     def each(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("doc_id").agg(F.max("text").alias("text")).persist()
-        new = chunk_documents(latest, "doc_id", "text")
-        stored = store.read(table) if store.version(table) else new.limit(0)
-        store.write(table, replace_by_doc(stored, new, latest.select("doc_id")))
-        latest.unpersist()
+        latest = materialize(batch.groupBy("doc_id").agg(F.max_by("text", F.struct("arrived", "file", "text")).alias("text")), "ingest-latest")
+        store.replace_buckets(table, chunk_documents(latest, "doc_id", "text"), latest)
+        discard(latest)
 
     return drain(documents(spark, path, files_per_batch=files_per_batch), checkpoint, each)
 
