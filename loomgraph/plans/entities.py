@@ -250,12 +250,14 @@ def _(b: Bed) -> DataFrame:
     return extraction.resolve_edges(said.select("source", "target", "edge_type")).groupBy("src", "dst", "edge_type").agg(F.count("*").alias("n"))
 
 
-@query("parse_llm_json")
+@query("parse_llm_json", "select doc_id, case when doc_id % 4 = 3 then 0 else 2 end as entities, case when doc_id % 4 = 3 then 0 else 1 end as edges, case when doc_id % 4 = 3 then 'unreadable' end as error from documents")
 def _(b: Bed) -> DataFrame:
     return extraction.parse(extraction.as_answers(b.documents)).select("doc_id", F.size("result.entities").alias("entities"), F.size("result.edges").alias("edges"), "error")
 
 
-@query("validate_extraction")
+@query("validate_extraction", """with said as (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}') as w from documents where doc_id % 4 <> 3)
+    select doc_id, w[1] as label, substr(lower(w[1]), 1, 128) as id, 'person' as entity_type, 1.0::double as confidence, '' as description from said where len(w) > 0
+    union all select doc_id, w[2], substr(lower(w[2]), 1, 128), 'concept', 0.5::double, '' from said where len(w) > 1""")
 def _(b: Bed) -> DataFrame:
     return extraction.entities(extraction.parse(extraction.as_answers(b.documents)))
 

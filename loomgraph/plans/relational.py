@@ -424,11 +424,11 @@ def _(b: Bed) -> DataFrame:
     return b.events.groupBy("event_type").agg(F.max("ts").cast("timestamp_ntz").alias("last_ts"), F.count("*").alias("n"))
 
 
-@query("document_chunk_writes", """with old as (select id, doc_id, body, chunk_index from chunk where chunk_index < 2), again as (select id, doc_id, upper(body) as body, chunk_index from chunk where chunk_index = 1)
+@query("document_chunk_writes", """with old as (select id, doc_id, body, chunk_index from chunk where chunk_index < 2), again as (select id, doc_id, lower(body) as body, chunk_index from chunk where chunk_index = 1)
     select * from old where id not in (select id from again) union all select * from again""")
 def _(b: Bed) -> DataFrame:
     old = b.chunk.where("chunk_index < 2").select("id", "doc_id", "body", "chunk_index")
-    again = b.chunk.where("chunk_index = 1").select("id", "doc_id", F.upper("body").alias("body"), "chunk_index")
+    again = b.chunk.where("chunk_index = 1").select("id", "doc_id", F.lower("body").alias("body"), "chunk_index")
     return writes.upsert_chunks(old, again)
 
 

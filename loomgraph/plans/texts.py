@@ -115,7 +115,7 @@ def link_entities(chunks: DataFrame, surfaces: DataFrame) -> DataFrame:
 @query(
     "link_entities",
     r"""with s as (select cast(doc_id as varchar) as doc_id, 'w' || cast(w as varchar) as entity_id, lower(regexp_extract_all(text, '[A-Za-z]{3,}')[w]) as surface from documents, unnest([1, 5, 9]) as u(w))
-    select distinct c.id as chunk_id, s.entity_id from chunk c join s using (doc_id) where s.surface is not null and s.surface <> '' and regexp_matches(lower(c.body), '(?:^|[^\p{L}\p{N}\p{M}_])' || s.surface || '(?:$|[^\p{L}\p{N}\p{M}_])')""",
+    select distinct c.id as chunk_id, s.entity_id from chunk c join s using (doc_id) where s.surface is not null and s.surface <> '' and contains(lower(c.body), s.surface) and regexp_matches(lower(c.body), '(?:^|[^\p{L}\p{N}\p{M}_])' || s.surface || '(?:$|[^\p{L}\p{N}\p{M}_])')""",
 )
 def _(b: Bed) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
