@@ -52,3 +52,28 @@ def test_stages(spark):
     bins = check_places(packed, 2048)
     assert bins <= -(-sum(lengths.values()) // 2048) + 2
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 4
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls anywhere, empty and very long texts, ties, repeats, an empty table, and columns with clashing names."""
+    plain = read_table(spark, SF, "documents").limit(40).select("doc_id", "text", "lang", "source", "n_chars")
+    schema = plain.schema
+    odd = [
+        (None, None, None, None, None), (None, "a text without an id", "en", None, 3), (900001, None, "en", "s", None), (900002, "", None, "s", 0), (900003, " \n\t ", "en", "s", 5),
+        (900004, "word " * 60_000, "en", "s", 300_000), (900005, "x" * 400_000, "en", "s", 400_000), (900006, "the same five words here", "en", "s", 1), (900006, "the same five words here", "en", "s", 1), (900007, "the same five words here", None, None, None),
+    ]
+    every = plain.unionByName(spark.createDataFrame(odd, schema))
+    clash = {c: F.lit(7) for c in ("id", "key", "fp", "count", "rep", "shard", "_text", "component", "length", "log_weight", "piece")}
+    docs = materialize(every.withColumns(clash), "odd-docs")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out = materialize(stage(spark, docs, SF), f"odd-{name}")
+        if name == "packing":
+            assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+            check_places(out.collect(), 2048)
+            break
+        assert out.columns == docs.columns
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "near_dedup":
+            assert ids.count(900006) == 1 and 900007 not in ids and len([i for i in ids if i in (900001, 900002, 900003)]) <= 1 and None in ids
+        assert set(ids) <= {r.doc_id for r in docs.select("doc_id").collect()}
