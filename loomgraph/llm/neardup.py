@@ -58,16 +58,25 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def beginning(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n // 5 + 1 shingles, those of `common` last in its order."""
-    if not len(grams):
-        return grams
-    rank = np.zeros(len(grams), np.int64)
-    if len(common):
-        by = np.argsort(common)
-        at = np.minimum(np.searchsorted(common, grams, sorter=by), len(common) - 1)
-        rank = np.where(common[by[at]] == grams, by[at] + 1, 0)
-    return grams[np.lexsort((grams, rank))][: len(grams) // 5 + 1]
+class Order:
+    """The order of shingles: by value, but common ones last, the more common the later."""
+
+    def __init__(self, common: np.ndarray):
+        self.place = np.argsort(common)
+        self.sorted = common[self.place]
+
+    def beginning(self, grams: np.ndarray) -> np.ndarray:
+        """The first n // 5 + 1 of distinct ascending shingles."""
+        size = len(grams) // 5 + 1
+        if not len(grams) or not len(self.sorted):
+            return grams[:size]
+        at = np.minimum(np.searchsorted(self.sorted, grams), len(self.sorted) - 1)
+        common = self.sorted[at] == grams
+        rare = grams[~common]
+        if len(rare) >= size:
+            return rare[:size]
+        late = np.flatnonzero(common)
+        return np.concatenate([rare, grams[late[np.argsort(self.place[at[late]])]]])[:size]
 
 
 def _key(grams: np.ndarray) -> int:
@@ -88,9 +97,20 @@ def _every_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["gram"])
 
 
+#: Texts whose shingles are handed on at once.
+TOGETHER = 64
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(start, TOGETHER)
+
+
 def _prints(common: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        order = Order(common)
+        for batch in _slices(batches):
             keys, prints, sizes, bits, first = [], [], [], [], []
             for text in _texts(batch):
                 every = simhash.shingle_hashes(text, SHINGLE)
@@ -99,9 +119,11 @@ def _prints(common: np.ndarray) -> Callable:
                 prints.append(simhash.majority(every) if len(every) else 0)
                 sizes.append(len(grams))
                 bits.append(parity(grams))
-                first.append(beginning(grams, common).view(np.int64))
+                first.append(order.beginning(grams).view(np.int64))
+            ends = np.cumsum([0] + [len(f) for f in first]).astype(np.int32)
+            flat = np.concatenate(first) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _signed(keys), _signed(prints), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                [batch.column(0), _signed(keys), _signed(prints), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=["id", "key", "fp", "n", "bits", "first"],
             )
 
@@ -109,7 +131,7 @@ def _prints(common: np.ndarray) -> Callable:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         found = [shingles(t) for t in _texts(batch)]
         yield pa.RecordBatch.from_arrays([_signed([_key(g) for g in found]), pa.array([g.tobytes() for g in found], pa.binary())], names=["key", "grams"])
 

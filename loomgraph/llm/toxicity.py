@@ -35,7 +35,7 @@ ROUNDS, EPOCHS, BATCH = 4, 2, 256
 #: Bytes of a word at most.
 LONGEST = 64
 #: Words whose input a Python worker keeps, and strides of words that are run at once.
-TABLE, CHUNK = 1 << 18, 4096
+TABLE, CHUNK = 1 << 17, 4096
 SEED = 8
 
 #: ASCII bytes other than digits and letters become blanks, A-Z become a-z.
