@@ -11,7 +11,7 @@ everything. Nothing else goes into it; documents that are labelled bad have no p
 The sample is drawn without replacement by Gumbel top-k: standard Gumbel noise, seeded by
 the row, is added to each log weight, and the k largest sums stay. k does not follow from
 the sign of the weights: it is the number of documents that weigh as much as the lightest
-target document that was set aside when the models were counted.
+target document that was set aside when the models were counted, less SLACK for the noise.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ REFERENCE, PRIOR = 256, 100.0
 #: A word pair weighs like the letters of a word.
 WORD_GRAMS = 6
 SMOOTH = 0.5
+#: How much lighter than the lightest target document set aside a document may be and still count for k.
+SLACK = 3.0
 SEED = 5
 
 
@@ -219,7 +221,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, float | None]:
-    """The model, and the log weight of the lightest target document set aside; None without target documents."""
+    """The model, and the log weight of the lightest target document set aside, less SLACK; None without target documents."""
     target = materialize(labelled_rows(docs, labels, "quality", {0: 0, 1: TARGET_ROWS}, id_col, text_col), "resampling-target")
     aside = F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(ASIDE)) == 0
     model = fit(corpus_counts(docs, text_col), corpus_counts(target.where(~aside), "_text"))
@@ -227,14 +229,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return model, None
     lightest = lambda rows: scores(rows, model, "_id", "_text").agg(F.min("log_weight")).first()[0]
     least = lightest(target.where(aside))
-    return model, lightest(target) if least is None else least
+    return model, (lightest(target) if least is None else least) - SLACK
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model, float | None]:
     """(id_col, log_weight, key, kept) for every row, the model, and the least kept key.
 
     k: rows to keep; by default as many as weigh no less than the lightest target document
-    set aside (all, without target documents). Null texts count as empty; a text without
+    set aside, less SLACK (all, without target documents). Null texts count as empty; a text without
     n-grams has log weight 0. Rows equal in id and text share their noise and stay or go
     together; so do rows whose keys tie with the k-th. Other columns are ignored; an empty
     table gives no rows. Labels of ids that docs lacks, and null labels, count for nothing.
