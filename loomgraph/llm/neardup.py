@@ -58,6 +58,11 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def folded(bits: bytes) -> np.ndarray:
+    """A parity of LEAST_BITS classes, of any parity."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.int64).reshape(-1, LEAST_BITS // 64), axis=0)
+
+
 class Order:
     """The order of shingles: by value, but common ones last, the more common the later."""
 
@@ -111,7 +116,7 @@ def _prints(common: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(common)
         for batch in _slices(batches):
-            keys, prints, sizes, bits, first = [], [], [], [], []
+            keys, prints, sizes, bits, few, first = [], [], [], [], [], []
             for text in _texts(batch):
                 every = simhash.shingle_hashes(text, SHINGLE)
                 grams = np.unique(every)
@@ -119,12 +124,13 @@ def _prints(common: np.ndarray) -> Callable:
                 prints.append(simhash.majority(every) if len(every) else 0)
                 sizes.append(len(grams))
                 bits.append(parity(grams))
+                few.append(folded(bits[-1]))
                 first.append(order.beginning(grams).view(np.int64))
             ends = np.cumsum([0] + [len(f) for f in first]).astype(np.int32)
             flat = np.concatenate(first) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _signed(keys), _signed(prints), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["id", "key", "fp", "n", "bits", "first"],
+                [batch.column(0), _signed(keys), _signed(prints), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(few, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["id", "key", "fp", "n", "bits", "few", "first"],
             )
 
     return run
@@ -195,9 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = counted.where(F.col("count") >= LEAST).orderBy(F.desc("count"), "gram").limit(COMMON).collect()
     common = np.array([r.gram for r in reversed(often)], np.int64).view(np.uint64)
 
-    prints = materialize(texts.mapInArrow(_prints(common), f"id {kind}, key long, fp long, n int, bits binary, first array<long>"), "neardup-prints")
+    prints = materialize(texts.mapInArrow(_prints(common), f"id {kind}, key long, fp long, n int, bits binary, few array<long>, first array<long>"), "neardup-prints")
     # of a group of copies any row's parity and fingerprint will do: they follow from the shingles, but for repeats
-    about = materialize(prints.groupBy("key").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.max("bits").alias("bits")), "neardup-reps")
+    about = materialize(prints.groupBy("key").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("few").alias("few")), "neardup-reps")
 
     by_print = about.groupBy("fp").agg(F.min("key").alias("rep"))
     by_print = materialize(by_print, "neardup-fingerprints")
@@ -221,8 +227,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = known.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
     mixed = materialize(known.join(mixed, "gram", "left_semi"), "neardup-mixed")
     discard(known)
-    x, y = (mixed.select("gram", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}"), F.col("small").alias(f"small{k}")) for k in "ab")
-    met = x.where("smalla").join(y, "gram").where(f"ca <> cb and na <= nb and {NEAR_SIZES}")
+    told = mixed.join(about.select("key", "few"), "key")
+    x, y = (told.select("gram", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}"), F.col("small").alias(f"small{k}"), F.col("few").alias(f"few{k}")) for k in "ab")
+    apart_by = " + ".join(f"bit_count(fewa[{i}] ^ fewb[{i}])" for i in range(LEAST_BITS // 64))
+    met = x.where("smalla").join(y, "gram").where(f"ca <> cb and na <= nb and {NEAR_SIZES} and 9 * ({apart_by}) <= na + nb")
     more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     every = found.unionByName(_verified(more, about, texts))
 
