@@ -11,6 +11,9 @@ against the full Manhattan bound and then against the exact Hamming distance.
 Copies are folded to one representative per fingerprint before any of this, and members
 of a crowded cell are first joined to its smallest fingerprint, so that only pairs that
 these stars leave apart are made one by one.
+
+Joins are merge joins at every size: Spark's estimate of a table's bytes does not know how
+many cells a fingerprint visits, and what it takes for small is built on the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -95,7 +98,7 @@ def star_links(reps: DataFrame) -> DataFrame:
     """
     home = reps.withColumn("p", popcounts()).select("fp", "rep", F.explode(F.expr("array(p & 4294967295L, 4294967296L + shiftrightunsigned(p, 32))")).alias("cell"))
     centre = home.groupBy("cell").agg(F.min(F.struct(F.col("fp").alias("cfp"), F.col("rep").alias("crep"))).alias("c")).select("cell", "c.*")
-    near = home.join(centre, "cell").where(F.expr(f"fp <> cfp and bit_count(fp ^ cfp) <= {MAX_BITS}"))
+    near = home.join(centre.hint("merge"), "cell").where(F.expr(f"fp <> cfp and bit_count(fp ^ cfp) <= {MAX_BITS}"))
     return near.select(F.greatest("rep", "crep").alias("src"), F.least("rep", "crep").alias("dst")).distinct()
 
 
@@ -125,7 +128,7 @@ def links(reps: DataFrame) -> DataFrame:
     step = "abs((shiftrightunsigned(a.p, {0}) & 3) - (shiftrightunsigned(b.p, {0}) & 3))"
     bound = " + ".join(step.format(2 * i) for i in range(32))
     met = a.join(
-        b,
+        b.hint("merge"),
         F.expr("a.cell = b.cell and a.k <> b.k")
         & F.expr(f"{bound} <= {MAX_BITS}")
         & F.expr(f"bit_count(a.fp ^ b.fp) <= {MAX_BITS}"),
@@ -143,7 +146,7 @@ def spanning_links(reps: DataFrame) -> DataFrame:
     """
     stars = materialize(star_links(reps), "simhash-stars")
     joined = connected_components(stars)
-    known = reps.join(joined, reps.rep == joined.node, "left").select("fp", "rep", F.coalesce("component", "rep").alias("class"))
+    known = reps.join(joined.hint("merge"), reps.rep == joined.node, "left").select("fp", "rep", F.coalesce("component", "rep").alias("class"))
     rest = links(materialize(known, "simhash-known"))
     return stars.unionByName(rest.select("src", "dst"))
 
@@ -159,9 +162,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
     reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
     joined = connected_components(spanning_links(reps))
-    classes = reps.join(joined, reps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.join(joined.hint("merge"), reps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     classes = materialize(classes, "simhash-classes")
-    return prints.join(classes, "fp", "left").select(
+    return prints.join(classes.hint("merge"), "fp", "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -176,5 +179,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ids = materialize(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count(), "simhash-kept")
     # a merge join at every size, so that what is shuffled grows as the texts do and no id list is broadcast
     once = docs.join(ids.where("count = 1").select(id_col).hint("merge"), id_col, "left_semi")
-    again = docs.join(ids.where("count > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    again = docs.join(ids.where("count > 1").select(id_col).hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
     return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import licenses, packing, sharding, simhash, syncmers
 from loomgraph.llm.queries import tokenizer_path
+from loomgraph.operators.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, shard int, score double, _size string"
 
@@ -300,6 +301,18 @@ def test_links_lose_nothing(spark):
     assert got == want and len(want) > 100
 
 
+def test_simhash_broadcasts_nothing(spark):
+    """Each fingerprint visits up to 34 cells, which the estimate of a table's bytes leaves out."""
+    reps = spark.createDataFrame([(i * 0x9E3779B97F4A7C1 % (1 << 62), i) for i in range(50)], "fp long, rep long")
+    asked = [simhash.links(reps), simhash.star_links(reps), simhash.near_duplicates(reps.selectExpr("rep AS doc_id", "hex(fp) AS text"))]
+    asked.append(connected_components(reps.selectExpr("rep AS src", "rep div 2 AS dst")))
+    for df in asked:
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in asked[:3]]
+    assert all("strategy=merge" in plan for plan in plans)
+
+
 def test_simhash_empty(spark, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
     odd = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, None)], "doc_id long, text string")
