@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import simhash
 from loomgraph.operators.components import connected_components
-from loomgraph.session import discard, materialize, ship_package
+from loomgraph.session import discard, give_back, materialize, ship_package
 
 SHINGLE = 5
 #: Parity bits at least; beyond, twice as many as there are shingles or less, a power of two.
@@ -198,8 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(_every_gram, "gram long").groupBy("gram").count()
-    often = counted.where(F.col("count") >= LEAST).orderBy(F.desc("count"), "gram").limit(COMMON).collect()
+    often = counted.where(F.col("count") >= LEAST).orderBy(F.desc("count"), "gram").limit(COMMON).select("gram").collect()
     common = np.array([r.gram for r in reversed(often)], np.int64).view(np.uint64)
+    del often
+    give_back()
 
     prints = materialize(texts.mapInArrow(_prints(common), f"id {kind}, key long, fp long, n int, bits binary, few array<long>, first array<long>"), "neardup-prints")
     # of a group of copies any row's parity and fingerprint will do: they follow from the shingles, but for repeats

@@ -13,9 +13,10 @@ chosen, and the network is fitted to them by backpropagation through time.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.resampling import filter_rows, labelled_sample, logistic
-from loomgraph.session import ship_package
+from loomgraph.session import give_back, ship_package
 
 WORDS, GRAMS = 1 << 15, 1 << 15
 DIM, HIDDEN = 8, 8
@@ -162,15 +163,22 @@ def backward(net: Network, kept: dict, grad: np.ndarray) -> tuple[dict[str, np.n
 
 
 class Corpus:
-    """The sample as word numbers, with each distinct word's id and n-grams."""
+    """The sample as word numbers, with each distinct word's id and n-grams.
+
+    The numbers stand in flat arrays, and windows are made when they are asked for: a sample
+    has some 300 000 distinct words, whose n-grams as lists took most of the driver's Python.
+    """
 
     def __init__(self, texts: list[bytes]):
         number: dict[bytes, int] = {}
-        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
-        self.ids = np.array([word_id(w) for w in number] + [0], np.int64)
-        grams = [gram_ids(w) for w in number] + [[]]
-        self.first = np.r_[0, np.cumsum([len(g) for g in grams])]
-        self.grams = np.array([g for one in grams for g in one], np.int64)
+        self.docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
+        self.ids = np.fromiter(chain(map(word_id, number), [0]), np.int32, len(number) + 1)
+        grams, ends = array("i"), array("q", [0])
+        for word in number:
+            grams.extend(gram_ids(word))
+            ends.append(len(grams))
+        ends.append(len(grams))  # the blank has none
+        self.first, self.grams = np.array(ends), np.array(grams)
         self.blank = len(number)
 
     def inputs(self, net: Network, words: np.ndarray) -> np.ndarray:
@@ -195,7 +203,7 @@ class Corpus:
         """Word numbers of the document's windows; the blank's number fills up."""
         words = self.docs[doc]
         starts = np.array(window_starts(len(words)))
-        padded = np.r_[words, np.full(WINDOW + STRIDE, self.blank)]
+        padded = np.r_[words, np.full(WINDOW + STRIDE, self.blank, np.int32)]
         return padded[starts[:, None] + np.arange(WINDOW)]
 
 
@@ -260,30 +268,34 @@ def train(sample: list[tuple[bytes, int]], seed: int = SEED, hints: bool = True)
         aside[of[3::4]] = True
     learn, held = np.flatnonzero(~aside), np.flatnonzero(aside)
     corpus = Corpus([sample[i][0] for i in learn])
+    give_back()
     label = y[learn]
     by_word, by_gram = log_odds(corpus, label)
     if hints:
         net.word[:, 0] = by_word / 2
         net.gram[:, 1] = by_gram / 4
-    every = np.arange(corpus.blank + 1)
-    hint = by_word[corpus.ids] + corpus.summed(by_gram[:, None], every)[:, 0] / 2
+    hint = by_word[corpus.ids]
+    for start in range(0, len(hint), CHUNK):
+        some = np.arange(start, min(start + CHUNK, len(hint)))
+        hint[some] += corpus.summed(by_gram[:, None], some)[:, 0] / 2
     hint[corpus.blank] = -9
-    windows = [corpus.windows(i) for i in range(len(learn))]
-    rank = [hint[w].max(1) for w in windows]
+    rank = [hint[corpus.windows(i)].max(1) for i in range(len(learn))]
     state: dict = {"t": 0}
     for turn in range(ROUNDS):
         chosen, of = [], []
-        for w, score, one in zip(windows, rank, label):
+        for i, (score, one) in enumerate(zip(rank, label)):
             best = np.argsort(-score, kind="stable")[:1]
-            picked = best if one else np.r_[best, rng.integers(0, len(w), 1)]
-            chosen.append(w[picked])
+            picked = best if one else np.r_[best, rng.integers(0, len(score), 1)]
+            chosen.append(corpus.windows(i)[picked])
             of.append(np.full(len(picked), one))
         stacked, target = np.vstack(chosen), np.concatenate(of)
         for _ in range(EPOCHS):
             fit_windows(net, corpus, stacked, target, state, rng)
         if turn + 1 < ROUNDS:
-            scorer = Scorer(net)
-            rank = scorer.window_logits([sample[i][0] for i in learn])
+            rank = Scorer(net).window_logits([sample[i][0] for i in learn])
+        give_back()
+    del corpus, state
+    give_back()
     if not len(held):
         held = np.arange(len(y))
     top = np.array([x.max() for x in Scorer(net).window_logits([sample[i][0] for i in held])])
@@ -299,13 +311,13 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net = net
-        self.by_word = (net.word @ net.into + net.bias).astype(np.float32)
+        by_word = net.word @ net.into
+        by_word += net.bias
+        self.by_word = by_word.astype(np.float32)
+        del by_word
         self.by_gram = (net.gram @ net.into).astype(np.float32)
         self.loop = [np.ascontiguousarray(u.T, np.float32) for u in net.loop]
         self.out = [np.stack([net.look[p], net.read[p]]).astype(np.float32) for p in (slice(HIDDEN), slice(HIDDEN, None))]
-        self.clear()
-
-    def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.table = np.zeros((TABLE, 6 * HIDDEN), np.float32)
 
@@ -315,7 +327,7 @@ class Scorer:
         if not at.all():
             new = list(dict.fromkeys(w for w, i in zip(words, at.tolist()) if not i))
             if len(self.slot) + len(new) + 1 > TABLE:
-                self.clear()
+                self.slot.clear()  # rows are written again before they are read
                 new = list(dict.fromkeys(words))
             grams = [gram_ids(w) for w in new]
             begin = np.cumsum([0] + [len(g) for g in grams[:-1]])
@@ -326,14 +338,13 @@ class Scorer:
             at = np.fromiter(map(self.slot.get, words), np.int64, len(words))
         return at
 
-    def run(self, inputs: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """Logits of the windows that begin at each stride but the last.
-
-        inputs: strides x STRIDE x 6H; there: strides x STRIDE, 1 where a word stands.
-        """
-        size = len(inputs) - 1
-        x = np.ascontiguousarray(inputs.transpose(1, 2, 0))
-        mask = np.ascontiguousarray(there.T)
+    def run(self, strides: np.ndarray) -> np.ndarray:
+        """Logits of the windows that begin at each stride but the last; strides: table rows, 0 where no word stands."""
+        size = len(strides) - 1
+        x = np.empty((STRIDE, 6 * HIDDEN, size + 1), np.float32)
+        for k in range(STRIDE):
+            x[k] = self.table[strides[:, k]].T
+        mask = np.ascontiguousarray(strides.T > 0, np.float32)
         e, value = np.zeros((2, WINDOW, size), np.float32)
         zr, zr_abs = np.empty((2, 2 * HIDDEN, size), np.float32)
         n, n_abs, rh = np.empty((3, HIDDEN, size), np.float32)
@@ -378,8 +389,7 @@ class Scorer:
         def flush() -> None:
             nonlocal waiting
             if marks:
-                strides = np.vstack(rows)
-                logits = self.run(self.table[strides], (strides > 0).astype(np.float32))
+                logits = self.run(np.vstack(rows))
                 at = 0
                 for text, n in marks:
                     out[text].append(logits[at : at + n])
@@ -415,7 +425,9 @@ class Scorer:
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """Fitted on labelled rows whose crc32 of the id as text isn't divisible by 5."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
-    return train(labelled_sample(docs, labels.where(fold), "toxic", SAMPLE, id_col, text_col))
+    net = train(labelled_sample(docs, labels.where(fold), "toxic", SAMPLE, id_col, text_col))
+    give_back()
+    return net
 
 
 def score_texts(net_of, texts: list[str | None]) -> np.ndarray:

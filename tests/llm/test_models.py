@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -257,6 +258,22 @@ def toxic_corpus(spark, n=240):
     return spark.createDataFrame(docs + [(7000, None, 0.1), (7001, "", 0.1), (None, "x", 0.1), docs[1]], "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_training_words_are_held_flat():
+    """The driver trains on some 300 000 distinct words; n-grams as lists took over 500 bytes of it for each."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=12)) for _ in range(500)).encode() for _ in range(40)]
+    tracemalloc.start()
+    c = toxicity.Corpus(texts)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert c.blank > 19_000
+    assert held < 100 * c.blank and peak < 350 * c.blank, (held / c.blank, peak / c.blank)
+    words = texts[0].split()
+    grams, of = c.spans(c.docs[0])
+    assert [grams[of == i].tolist() for i in range(3)] == [toxicity.gram_ids(w) for w in words[:3]]
+    assert [int(c.ids[i]) for i in c.docs[0]] == [toxicity.word_id(w) for w in words]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = toxic_corpus(spark)
     got = toxicity.score(docs, labels).collect()
