@@ -16,10 +16,11 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,20 +31,34 @@ CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 #: Distinct words whose ids a Python worker keeps, and the longest such word.
 KEPT_WORDS, KEPT_LENGTH = 300_000, 40
+#: Characters of the texts that are taken apart at once, and words whose ids are gathered at once (one text may have more).
+SLICE, TOGETHER = 1 << 19, 1 << 17
+#: Blanks that the pre-tokenizer may join with what stands before them; of white space, all that Unicode has.
+WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+JOINED = rf"  |[{WHITE}] (?:[{WHITE}]|\z)"
 #: Pieces of one length that one salt holds on average, and the least number of salts.
 SALT_ROWS, LEAST_SALTS = 50_000, 64
 
 Run = tuple[int, int, int, int, int]  # length, first, count, base, offset
 
 
+def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs numbered `at` of a flat array, end to end, and where each ends."""
+    n = size[at]
+    ends = np.cumsum(n)
+    return flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class WordCachedTokenizer:
     """Ids of whole texts by a `tokenizers` file, with the ids of common words kept.
 
-    The byte-level pre-tokenizer never joins what stands on both sides of a blank that
-    follows no other blank, so such a text's ids are those of its first word and of each
-    other word with its blank. Words not met before are encoded in one text, and cut apart
-    where a token begins with a blank. Texts with two blanks in a row, and words that hold
-    one of the file's added tokens, are encoded on their own.
+    The byte-level pre-tokenizer never joins what stands on both sides of a blank that has
+    no blank before it, nor other white space before it and white space or the end after it.
+    So a text without such blanks has the ids of its first word and of each other word with
+    its blank; any other text is encoded whole. Arrow splits a batch and numbers its distinct
+    words; ids stand in one flat array, from which texts are gathered by word number. Words
+    not met before are encoded in one text, and cut apart where a token begins with a blank;
+    those that hold one of the file's added tokens are encoded on their own.
     """
 
     def __init__(self, path: str):
@@ -51,51 +66,87 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, int] = {}  # numbers of words; their ids stand in `flat` by number, `size` for each
+        self.flat, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.begins[i] = piece.startswith(blank)
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words with a blank before them."""
-        plain = [w for w in words if w and not any(t in w for t in self.added)]
-        out: dict[str, bytes] = {}
-        if plain:
-            (raw,) = self._raw([" " + " ".join(plain)])
-            ends = np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]).tolist()
-            if len(ends) == len(plain) and ends[0] == 0:
-                out = {w: raw[4 * a : 4 * b] for w, (a, b) in zip(plain, pairwise([*ends, len(raw) // 4]))}
-        rest = [w for w in words if w not in out]
-        return out | dict(zip(rest, self._raw([" " + w for w in rest])))
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words in another order, their ids with a blank before them, end to end, and how many each has."""
+        line, odd = " " + " ".join(words), []
+        if "" in words or any(t in line for t in self.added):
+            odd = [w for w in words if not w or any(t in w for t in self.added)]
+        ids, size = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        for apart in (lambda w: False, lambda w: w[:1].isspace(), lambda w: True):  # what a word before it may be joined to
+            odd += [w for w in words if apart(w)]
+            drop = set(odd)
+            words = [w for w in words if w not in drop] if drop else words
+            if not words:
+                break
+            (ids,) = self._raw([" " + " ".join(words) if odd else line])
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(words) and not starts[0]:
+                size = np.diff(np.r_[starts, len(ids)])
+                break
+            ids = ids[:0]
+        found = self._raw([" " + w for w in odd])
+        return words + odd, np.concatenate([ids, *found]), np.r_[size, np.array([len(x) for x in found], np.int64)]
+
+    def _apart(self, texts: pa.LargeStringArray) -> Iterator[bytes]:
+        """Ids of texts that can be taken apart at every blank."""
+        parts = pc.split_pattern(texts, " ")
+        begin = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        words, at, heads = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), begin[:-1]
+        behind = np.ones(len(at), bool)  # a blank
+        behind[heads] = False
+        used = np.zeros(len(words), bool)
+        used[at[behind]] = True
+        number = np.fromiter(map(self.kept.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(used & (number < 0)).tolist()
+        names, ids, size = self._new([words[i] for i in missing])
+        known = len(self.size)
+        numbers = dict(zip(names, range(known, known + len(names))))
+        number[missing] = [numbers[words[i]] for i in missing]
+        first_words = self._raw([words[i] for i in at[heads].tolist()])
+        flat = np.concatenate([self.flat, ids, *first_words])
+        size = np.r_[self.size, size, np.array([len(x) for x in first_words], np.int64)]
+        first = np.cumsum(size) - size
+        room = KEPT_WORDS - known
+        short = np.array([i for w, i in numbers.items() if len(w) <= KEPT_LENGTH][: max(0, room)], np.int64)
+        if len(short):
+            self.kept.update((names[i - known], known + k) for k, i in enumerate(short.tolist()))
+            self.flat, self.size = np.r_[self.flat, gather(flat, first, size, short)[0]], np.r_[self.size, size[short]]
+        number = number[at]
+        number[heads] = np.arange(len(size) - len(heads), len(size))
+        for some in pairwise(np.unique(np.r_[np.searchsorted(begin[:-1], np.arange(0, begin[-1], TOGETHER)), len(heads)]).tolist()):
+            block = begin[some[0] : some[1] + 1]
+            raw, ends = gather(flat, first, size, number[block[0] : block[-1]])
+            cut = np.r_[0, ends[block[1:] - block[0] - 1]].tolist()
+            yield from (raw[a:b].tobytes() for a, b in pairwise(cut))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, JOINED)
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(at := np.flatnonzero(whole).tolist(), self._raw([texts[i] for i in at])):
+            out[i] = ids.tobytes()
+        rest = pc.invert(whole)
+        for i, raw in zip(np.flatnonzero(rest).tolist(), self._apart(column.filter(rest))):
+            out[i] = raw
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if "  " in t]
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole])):
-            out[i] = ids
-        rest = [i for i, x in enumerate(out) if x is None]
-        split = [texts[i].split(" ") for i in rest]
-        heads = self._raw([words[0] for words in split])
-        get = self.kept.get
-        found = [list(map(get, words[1:])) for words in split]
-        missing = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words[1:], ids) if x is None}
-        names = sorted(missing)
-        new = self._words(names)
-        for i, words, ids, head in zip(rest, split, found, heads):
-            if None in ids:
-                ids = [new[w] if x is None else x for w, x in zip(words[1:], ids)]
-            out[i] = head + b"".join(ids)
-        room = KEPT_WORDS - len(self.kept)
-        if room > 0:
-            short = [w for w in names if len(w) <= KEPT_LENGTH]
-            self.kept.update((w, new[w]) for w in short[:room])
-        return out
+        ends = np.cumsum([len(t) for t in texts])
+        at = np.searchsorted(ends, np.arange(SLICE, ends[-1], SLICE)) if texts else []
+        return [ids for a, b in pairwise(np.unique(np.r_[0, at, len(texts)].astype(int)).tolist()) for ids in self._encode(texts[a:b])]
 
 
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}

@@ -402,6 +402,20 @@ def test_packing(docs):
     check_places(got, cap)
 
 
+def test_blanks_among_other_white_space():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain, ours = Tokenizer.from_file(path), packing.WordCachedTokenizer(path)
+    white, rng = [" ", "\n", "\t", "\xa0", "\u3000", "\x85"], random.Random(8)
+    texts = ["x \xa0 \xa0", "x\xa0 \xa0y", "", " ", " a", "a ", "\n a", "<|endoftext|> a <|endoftext|>b", "a b a c"]
+    texts += ["".join(rng.choice([*white, "a", "foo", "é", "1", "!"]) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    want = [b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    for some in (slice(0, 1), slice(0, 700), slice(700, None), slice(0, None)):  # with few, some and all words kept
+        assert ours.encode(texts[some]) == want[some]
+    assert ours.encode([]) == []
+
+
 def check_places(got, cap):
     bins = defaultdict(list)
     for r in got:
