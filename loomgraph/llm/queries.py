@@ -22,7 +22,7 @@ def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.sample_segmentations(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return lattice.sample_segmentations(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=4)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from loomgraph.llm import chat, inner_product, lattice, resampling, toxicity
+from loomgraph.llm import chat, inner_product, lattice, queries, resampling, toxicity
 from loomgraph.llm.queries import tokenizer_path
+from tests.conftest import SF
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
 
@@ -54,6 +55,33 @@ def test_samples_follow_the_model(lattices):
     assert abs(np.mean(weights) - 1) < 0.05  # Horvitz-Thompson
 
 
+def test_later_samples_follow_the_model(lattices):
+    """The third without replacement: the search chooses among the sets beside two segmentations."""
+    all_ = every(lattices.pieces, "▁ox")
+    z = np.logaddexp.reduce([w for _, w in all_])
+    p = {ids: math.exp(w - z) for ids, w in all_}
+    assert len(p) >= 4
+    n = 4000
+    third = {}
+    for one in lattice.sample(lattices, ["ox"] * n, [f"t{i}" for i in range(n)], 4):
+        found = [tuple(x[0].tolist()) for x in one]
+        assert len(set(found)) == 4 and [x[2] for x in one] == sorted((x[2] for x in one), reverse=True)
+        third[found[2]] = third.get(found[2], 0) + 1
+    for c in p:
+        want = sum(p[a] * p[b] / (1 - p[a]) * p[c] / (1 - p[a] - p[b]) for a, b in itertools.permutations(p, 2) if c not in (a, b))
+        assert abs(third.get(c, 0) / n - want) < 0.035
+
+
+def test_segmentations_query_searches_on(spark):
+    """Four a text, so that the search chooses among what it has split; the first two are those of two."""
+    rows = {}
+    for r in queries.op2_segmentations(spark, SF).collect():
+        rows.setdefault(r.doc_id, {})[r["sample"]] = r.ids_crc32
+    few = {(r.doc_id, r["sample"]): r.ids_crc32 for r in lattice.sample_segmentations(spark.read.parquet(f"{SF}/documents.parquet"), MODEL, k=2).collect()}
+    assert max(map(len, rows.values())) == 4 and sum(len(x) == 4 for x in rows.values()) > 0.9 * len(rows)
+    assert few == {(d, i): x[i] for d, x in rows.items() for i in x if i < 2}
+
+
 def test_samples_do_not_depend_on_what_is_kept(lattices):
     texts = ["some words here", "日本 ünd\ttab", "  two  blanks "]
     a = lattice.sample(lattices, texts, ["1", "2", "3"], 3)
