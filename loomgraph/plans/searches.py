@@ -12,6 +12,7 @@ from loomgraph.operators import retrieval as rt
 from loomgraph.plans.catalog import query
 from loomgraph.plans.relational import labelled
 from loomgraph.plans.testbed import Bed
+from loomgraph.session import materialize
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TERMS = "list_filter(regexp_extract_all(lower(strip_accents({0})), '[a-z]+'), lambda t: t not in (" + _STOP + "))"
@@ -75,6 +76,11 @@ _HYBRID = f"""{_BM25},
     hybrid as (select *, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from fused qualify rank <= 12)"""
 
 
+def _with_chunk(b: Bed, top: DataFrame, *columns: str) -> DataFrame:
+    """The found rows with columns of their chunks; they are few (a dozen a query) and go to the chunks, which stay where they are."""
+    return b.chunk.select("id", *columns).join(F.broadcast(materialize(top, "searches-found")), "id")
+
+
 def hybrid(b: Bed, limit: int = 12) -> DataFrame:
     """Both legs over public chunks only, fused; every public chunk stands in both."""
     asked = rt.letter_embed(b.asked, "text").select("query_id", "embedding")
@@ -91,7 +97,7 @@ def _(b: Bed) -> DataFrame:
     from hybrid h join chunk c on c.id = h.id left join piv p on p.doc_id = c.doc_id""")
 def _(b: Bed) -> DataFrame:
     names = b.mention.join(b.entity.select(F.col("id").alias("entity_id"), "label"), "entity_id").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("label", "entity_id"))).alias("all"))
-    top = hybrid(b).join(b.chunk.select("id", "doc_id", "body"), "id").join(names, "doc_id", "left")
+    top = _with_chunk(b, hybrid(b), "doc_id", "body").join(names, "doc_id", "left")
     return top.select(
         "query_id", "rank", "id", snippet(F.col("body")).alias("snippet"),
         F.coalesce(F.array_join(F.transform(F.slice("all", 1, 8), lambda s: s["label"]), "|"), F.lit("")).alias("entities"),
@@ -107,7 +113,7 @@ _EXPECTED = "[lower(substr(a.text, 1, 30)), lower(substr(a.text, 31, 30)), lower
     select cast(query_id % 3 as varchar) as category, count(*) as queries, round(avg(case when met >= greatest(1, n // 2) then 1 else 0 end), 6) as recall from hit group by query_id % 3
     union all select 'all', count(*), round(avg(case when met >= greatest(1, n // 2) then 1 else 0 end), 6) from hit""")
 def _(b: Bed) -> DataFrame:
-    top = hybrid(b).where("rank <= 5").join(b.chunk.select("id", "body", "source_uri"), "id")
+    top = _with_chunk(b, hybrid(b).where("rank <= 5"), "body", "source_uri")
     part = lambda i: F.lower(F.substring("text", 30 * i + 1, 30))
     asked = b.asked.select("query_id", (F.col("query_id") % 3).cast("string").alias("category"), F.array(part(0), part(1), part(2)).alias("expected"))
     return rt.recall_at_k(asked, top.select("query_id", "rank", "body", F.col("source_uri").alias("path")))
