@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import retrieval
+from loomgraph.operators import graph, kernels, retrieval
 from loomgraph.plans.testbed import Bed
 
 
@@ -47,3 +48,28 @@ def test_chunks_keep_their_documents_columns_without_a_join(spark):
     bed._made["doc"] = spark.createDataFrame([("1", "text", "en", "a/1", "public")], "doc_id string, body string, title string, source_uri string, sensitivity string")
     assert "Join" not in plan_of(bed.chunk)
     assert bed.chunk.select("doc_id", "body", "title", "source_uri", "sensitivity").collect() == [("1", "text", "en", "a/1", "public")]
+
+
+def test_no_component_is_too_large_for_its_kernel(spark, monkeypatch):
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 3, raising=False)
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y"), ("y", "z"), ("z", "x")]
+    edges = spark.createDataFrame([(a, b, "T", 1.0, 0) for a, b in pairs], "src string, dst string, edge_type string, weight double, created_at long")
+    assert graph.bridges(edges).collect() == [("c", "x")]
+    found = {r.id: r.community for r in graph.louvain_communities(spark.createDataFrame([(x,) for x in "abcxyz"], "id string"), edges).collect()}
+    assert found == dict.fromkeys("abc", "a") | dict.fromkeys("xyz", "x")
+    best = {r.id: r.betweenness for r in graph.betweenness(edges).collect()}
+    assert best == {"c": 0.6, "x": 0.6, "a": 0.0, "b": 0.0, "y": 0.0, "z": 0.0}
+    assert graph.skeleton(edges, 1).select("a", "b").collect() == [("c", "x")]
+
+
+def test_kernels_in_slices(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = np.triu_indices(40, 1)
+    kept = rng.random(len(a)) < 0.06
+    a, b = a[kept], b[kept]
+    whole = kernels.Adjacency(40, a, b)
+    want = kernels.bridges(whole), kernels.dependencies(whole, np.arange(40)), kernels.louvain(40, a, b, np.ones(len(a)), float(len(a)))
+    monkeypatch.setattr(kernels, "SLICE", 5)
+    monkeypatch.setattr(kernels, "LISTED", 7)
+    got = kernels.bridges(whole), kernels.dependencies(whole, np.arange(40)), kernels.louvain(40, a, b, np.ones(len(a)), float(len(a)))
+    assert len(want[0]) and all(np.allclose(x, y) for x, y in zip(want, got))
