@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import HONORIFICS, LEGAL_SUFFIX, STOPWORDS, slugify, with_label_keys
 from loomgraph.operators.components import connected_components
+from loomgraph.session import materialize
 
 
 def label_keys(entities: DataFrame) -> DataFrame:
@@ -169,6 +170,25 @@ def rewrite_edges(edges: DataFrame, ids: DataFrame, *by: str) -> DataFrame:
     return moved.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def document_links(said: DataFrame, source: Column) -> DataFrame:
+    """(src, dst, confidence): new ids that one document names, from those of `source` rows to those of later labels, without loops; the surest counts.
+
+    said: (doc_id, label, new_id, confidence, ...). The pairs are many more than the rows and
+    are made where a document's rows meet: a pair of which one id stands in one document only
+    is made once, and only pairs of ids that both stand in several are shuffled.
+    """
+    a = said.where(source).groupBy("doc_id", F.col("new_id").alias("src")).agg(F.collect_set(F.struct("label", "confidence")).alias("said"))
+    b = said.groupBy("doc_id", F.col("new_id").alias("dst")).agg(F.max("label").alias("last"))
+    a, b = (materialize(x.withColumn("again", F.count("*").over(Window.partitionBy(c)) > 1), "document-links") for x, c in ((a, "src"), (b, "dst")))
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        sure = F.array_max(F.transform(F.filter("said", lambda s: s["label"] < F.col("last")), lambda s: s["confidence"]))
+        return y.join(x.drop("again").hint("merge"), "doc_id").where("src <> dst").select("src", "dst", sure.alias("confidence")).where("confidence is not null")
+
+    several = pairs(a.where("again"), b.where("again")).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    return pairs(a.where("not again"), b).unionByName(pairs(a.where("again"), b.where("not again"))).unionByName(several)
+
+
 # What marks a label as navigation, an address or a generated slug.
 ADDRESSES = ("http://", "https://", "www.", ".com", ".org", ".md", ".pdf", "vault/", "ontology.yaml")
 SLUG_PREFIXES = ("concept_", "event_", "publication_", "location_", "product_", "organization_", "person_", "breed_")

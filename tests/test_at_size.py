@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, kernels, retrieval
+from loomgraph.operators import graph, kernels, resolve, retrieval
+from loomgraph.plans import catalog
 from loomgraph.plans.testbed import Bed
 
 
@@ -73,3 +74,40 @@ def test_kernels_in_slices(monkeypatch):
     monkeypatch.setattr(kernels, "LISTED", 7)
     got = kernels.bridges(whole), kernels.dependencies(whole, np.arange(40)), kernels.louvain(40, a, b, np.ones(len(a)), float(len(a)))
     assert len(want[0]) and all(np.allclose(x, y) for x, y in zip(want, got))
+
+
+def shuffled(spark, df) -> int:
+    """Rows that the plan of a table writes to shuffles."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    total, rest = 0, [df._jdf.queryExecution().executedPlan()]
+    while rest:
+        node = rest.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        rest += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_document_links_shuffle_rows_not_pairs(spark):
+    rows = [(f"d{i % 2}", f"m{i:03}", f"m{i:03}", 0.5, "source") for i in range(100)] + [(f"d{i % 2}", f"p{i:03}", f"p{i // 4:03}", 0.5, "tool") for i in range(400)]
+    rows += [("d0", "a", "both", 0.7, "source"), ("d1", "b", "both", 0.9, "source"), ("d1", "m", "m001", 0.8, "source"), ("d1", "l", "m001", 0.6, "source"), ("d1", "lz", "both", 0.1, "tool")]
+    want: dict = {}
+    for d, label, src, sure, kind in rows:
+        for e, later, dst, _, _ in rows:
+            if kind == "source" and d == e and label < later and src != dst:
+                want[src, dst] = max(sure, want.get((src, dst), 0))
+    said = spark.createDataFrame(rows, "doc_id string, label string, new_id string, confidence double, entity_type string")
+    found = resolve.document_links(said, F.col("entity_type") == "source")
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) > 10_000 and {(a, b): c for a, b, c in got} == want
+    assert shuffled(spark, found) < 5 * len(rows)
+
+
+def test_apply_resolution_makes_no_table_of_pairs(spark):
+    from tests.conftest import SF
+
+    assert shuffled(spark, catalog.queries()["apply_resolution"](spark, SF)) < 3000
