@@ -114,7 +114,7 @@ def edge_violations(edges: DataFrame, ontology: Ontology) -> DataFrame:
 def with_types(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges with src_type and dst_type, null where the endpoint is unknown."""
     types = entities.groupBy("id").agg(F.min("entity_type").alias("t"))
-    return edges.join(types.select(F.col("id").alias("src"), F.col("t").alias("src_type")), "src", "left").join(types.select(F.col("id").alias("dst"), F.col("t").alias("dst_type")), "dst", "left")
+    return edges.join(types.select(F.col("id").alias("src"), F.col("t").alias("src_type")).hint("merge"), "src", "left").join(types.select(F.col("id").alias("dst"), F.col("t").alias("dst_type")).hint("merge"), "dst", "left")
 
 
 def grade_violations(edges: DataFrame, entities: DataFrame, ontology: Ontology) -> DataFrame:

@@ -31,14 +31,14 @@ def upsert_edges(stored: DataFrame, incoming: DataFrame, entities: DataFrame, on
 
     One edge per (src, dst, edge_type), the first written.
     """
-    ids = entities.select("id").distinct()
-    good = incoming.where(ontology.known_edge(F.col("edge_type"))).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ids = entities.select("id").distinct()  # grows with the graph: what Spark takes for small is built on the driver and held by every task
+    good = incoming.where(ontology.known_edge(F.col("edge_type"))).join(ids.withColumnRenamed("id", "src").hint("merge"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_semi")
     if grades:
         bad = grade_violations(good, entities, ontology).select(F.col("focus").alias("_key")).distinct()
         good = good.withColumn("_key", F.concat("src", F.lit(" -["), "edge_type", F.lit("]-> "), "dst")).join(bad, "_key", "left_anti").drop("_key")
     key = ["src", "dst", "edge_type"]
     first = Window.partitionBy(*key).orderBy("created_at", "confidence")
-    new = good.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").join(stored.select(*key), key, "left_anti")
+    new = good.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").join(stored.select(*key).hint("merge"), key, "left_anti")
     return stored.unionByName(new.select(*stored.columns))
 
 
@@ -137,13 +137,13 @@ def dangling(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges with an end that is no entity."""
     ids = entities.select("id").distinct()
     a, b = ids.select(F.col("id").alias("src"), F.lit(1).alias("_s")), ids.select(F.col("id").alias("dst"), F.lit(1).alias("_d"))
-    return edges.join(a, "src", "left").join(b, "dst", "left").where("_s is null or _d is null").drop("_s", "_d")
+    return edges.join(a.hint("merge"), "src", "left").join(b.hint("merge"), "dst", "left").where("_s is null or _d is null").drop("_s", "_d")
 
 
 def keep_linked(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges whose ends are both kept."""
     ids = kept.select("id").distinct()
-    return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return edges.join(ids.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi").join(ids.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_semi")
 
 
 class Store:

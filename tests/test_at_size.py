@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from loomgraph import session
 from loomgraph.operators import graph, kernels, resolve, retrieval
 from loomgraph.plans import catalog
 from loomgraph.plans.testbed import Bed
@@ -111,3 +112,26 @@ def test_apply_resolution_makes_no_table_of_pairs(spark):
     from tests.conftest import SF
 
     assert shuffled(spark, catalog.queries()["apply_resolution"](spark, SF)) < 3000
+
+
+def test_joins_with_entities_are_merge_joins(spark):
+    """The entities grow with the graph; what is broadcast is built on the driver and held by every task."""
+    from tests.conftest import SF
+
+    plans = catalog.queries()
+    for name in ("orphan_edges", "conflict_expand", "upsert_edges", "resolve_triplets", "insights_with_sources", "conflicting_beliefs", "grade_violations", "components"):
+        plan = plan_of(plans[name](spark, SF))
+        wide = [line for line in plan.split("\n") if "BroadcastHashJoin" in line and "edge_type" not in line]  # the table of allowed pairs is one of fixed size
+        assert not wide, name
+
+
+def test_more_rows_make_more_tasks(spark):
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    for given, most in (("1g", [session.SCAN_BYTES, session.SHUFFLE_BYTES]), ("8m", None)):
+        for k in keys:
+            spark.conf.set(k, given)
+        Bed(spark, "")
+        assert [spark.conf.get(k) for k in keys] == ([str(x) for x in most] if most else ["8m", "8m"])
+    for k, v in zip(keys, before):
+        spark.conf.set(k, v)
