@@ -135,3 +135,18 @@ def test_more_rows_make_more_tasks(spark):
         assert [spark.conf.get(k) for k in keys] == ([str(x) for x in most] if most else ["8m", "8m"])
     for k, v in zip(keys, before):
         spark.conf.set(k, v)
+
+
+def test_shortest_path_shuffles_fronts_not_edges(spark, monkeypatch):
+    rows = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: (rows.append(shuffled(spark, df)), real(df, label))[1])
+    pairs = [("s", "a"), ("b", "s"), ("a", "z"), ("b", "c"), ("c", "t"), ("z", "t"), ("a", "c"), ("t", "t")] + [(f"x{i}", f"y{j}") for i in range(50) for j in range(60)]
+    edges = spark.createDataFrame([(a, b, "T", 1.0, 0) for a, b in pairs], "src string, dst string, edge_type string, weight double, created_at long")
+    walk = lambda a, b, hops=4: [r.node for r in graph.shortest_path(edges, a, b, hops).orderBy("step").collect()]
+    assert walk("s", "t") == ["s", "a", "c", "t"] and walk("t", "s") == ["t", "c", "a", "s"]
+    assert walk("s", "t", 2) == walk("s", "x0") == walk("s", "nowhere") == []
+    assert walk("s", "s") == ["s"] and walk("x0", "x1") == ["x0", "y0", "x1"] and walk("x9", "y9") == ["x9", "y9"]
+    assert max(rows) < 300
+    monkeypatch.setattr(graph, "FRONT", 0)
+    assert walk("s", "t") == ["s", "a", "c", "t"]
