@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph import session
-from loomgraph.operators import graph, kernels, resolve, retrieval
+from loomgraph.operators import extraction, graph, kernels, resolve, retrieval
 from loomgraph.plans import catalog
 from loomgraph.plans.testbed import Bed
 
@@ -150,3 +150,24 @@ def test_shortest_path_shuffles_fronts_not_edges(spark, monkeypatch):
     assert max(rows) < 300
     monkeypatch.setattr(graph, "FRONT", 0)
     assert walk("s", "t") == ["s", "a", "c", "t"]
+
+
+def test_vector_search_holds_a_bounded_slice(spark, monkeypatch):
+    sizes = []
+    real = retrieval._scan
+    monkeypatch.setattr(retrieval, "_scan", lambda block, k, least: (sizes.append(len(block.value[0]) * k), real(block, k, least))[1])
+    v = spark.range(400).select("id", F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("embedding"))
+    asked = v.withColumnRenamed("id", "query_id")
+    rows = lambda: sorted(map(tuple, retrieval.vector_search(v, asked, 5).collect()))
+    whole = rows()
+    monkeypatch.setattr(retrieval, "KEPT", 500)
+    assert whole == rows() and len(whole) == 2000
+    assert sizes[0] == 2000 and sum(sizes[1:]) == 2000 and max(sizes[1:]) <= 1000
+
+
+def test_an_answer_is_read_once(spark):
+    docs = spark.createDataFrame([(i, "one two three") for i in range(4)], "doc_id long, text string")
+    made = extraction.entities(extraction.parse(extraction.as_answers(docs)))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 8  # once for each column that a pushed filter or a projection copies
+    assert sorted((r.doc_id, r.label) for r in made.collect()) == [(i, w) for i in range(3) for w in ("one", "two")]
