@@ -171,3 +171,13 @@ def test_an_answer_is_read_once(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") <= 8  # once for each column that a pushed filter or a projection copies
     assert sorted((r.doc_id, r.label) for r in made.collect()) == [(i, w) for i in range(3) for w in ("one", "two")]
+
+
+def test_components_rounds_take_numbers(spark, monkeypatch):
+    given = []
+    real = graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda df, *a: (given.append(df), real(df, *a))[1])
+    edges = spark.createDataFrame([("b", "c"), ("c", "a9"), ("d", "nowhere"), (None, "a9")], "src string, dst string")
+    found = graph.components(spark.createDataFrame([(x,) for x in ("a9", "a10", "b", "c", "d", "d", None)], "id string"), edges)
+    assert {tuple(r) for r in found.collect()} == {("a9", "a9"), ("a10", "a10"), ("b", "a9"), ("c", "a9"), ("d", "d"), (None, None)}
+    assert {kind for _, kind in given[0].dtypes} == {"int"}
