@@ -11,8 +11,8 @@ from loomgraph.session import materialize
 
 
 def label_keys(entities: DataFrame) -> DataFrame:
-    """One row per distinct label with its type (the smallest) and matching keys."""
-    return with_label_keys(entities.where("label is not null and label <> ''").groupBy("label").agg(F.min("entity_type").alias("entity_type")))
+    """One row per distinct label with its type (the smallest) and matching keys; written, since blocking, rules and clusters all read it."""
+    return materialize(with_label_keys(entities.where("label is not null and label <> ''").groupBy("label").agg(F.min("entity_type").alias("entity_type"))), "label-keys")
 
 
 def full_name(tokens: Column) -> Column:

@@ -181,3 +181,8 @@ def test_components_rounds_take_numbers(spark, monkeypatch):
     found = graph.components(spark.createDataFrame([(x,) for x in ("a9", "a10", "b", "c", "d", "d", None)], "id string"), edges)
     assert {tuple(r) for r in found.collect()} == {("a9", "a9"), ("a10", "a10"), ("b", "a9"), ("c", "a9"), ("d", "d"), (None, None)}
     assert {kind for _, kind in given[0].dtypes} == {"int"}
+
+
+def test_label_keys_are_made_once(spark):
+    labels = spark.createDataFrame([("Acme", "source"), ("Acme Inc", "source")], "label string, entity_type string")
+    assert len(resolve.label_keys(labels).inputFiles())
