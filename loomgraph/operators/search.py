@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph
 from loomgraph.operators import retrieval as rt
+from loomgraph.session import materialize
 
 MODES = ("keyword", "semantic", "hybrid", "hidden", "chunks")
 
@@ -27,9 +29,11 @@ class Searcher:
     chunk_vectors: DataFrame
     embedder: rt.Embedder
 
+    @cached_property
     def _vectors(self) -> DataFrame:
+        """(id, embedding) of the entities, embedded once for all modes."""
         named = self.entities.select("id", F.concat_ws(": ", "label", F.when(F.col("description") != "", F.col("description"))).alias("_said"))
-        return self.embedder(named, "_said").select("id", "embedding")
+        return materialize(self.embedder(named, "_said").select("id", "embedding"), "search-vectors")
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         return self.embedder(queries, "text").select("query_id", "embedding")
@@ -43,7 +47,7 @@ class Searcher:
         return rt.top_by(met.select("a.query_id", "id", F.col("confidence").alias("score")), "score", limit)
 
     def semantic(self, queries: DataFrame, limit: int) -> DataFrame:
-        found = rt.vector_search(self._vectors(), self._asked(queries), limit)
+        found = rt.vector_search(self._vectors, self._asked(queries), limit)
         return found.select("query_id", "id", F.col("similarity").alias("score"), "rank")
 
     def hybrid(self, queries: DataFrame, limit: int, kind: str | None = None) -> DataFrame:
@@ -52,10 +56,9 @@ class Searcher:
 
     def hidden(self, queries: DataFrame, limit: int) -> DataFrame:
         """What is near to the entity nearest to the text, and not linked to it."""
-        seeds = self.semantic(queries, 1).select("query_id", F.col("id").alias("seed"))
-        vectors = self._vectors()
-        start = vectors.join(seeds.select(F.col("seed").alias("id")).distinct(), "id")
-        near = rt.hidden_pairs(vectors, self.edges, start, top=None)
+        seeds = materialize(self.semantic(queries, 1).select("query_id", F.col("id").alias("seed")), "search-seeds")
+        start = materialize(self._vectors.join(F.broadcast(seeds.select(F.col("seed").alias("id")).distinct()), "id"), "search-start")  # a row a query
+        near = materialize(rt.hidden_pairs(self._vectors, self.edges, start, top=None), "search-near")
         ends = near.select(F.col("a").alias("seed"), F.col("b").alias("id"), "similarity").unionByName(near.select(F.col("b").alias("seed"), F.col("a").alias("id"), "similarity"))
         return rt.top_by(ends.join(seeds, "seed").select("query_id", "id", F.col("similarity").alias("score")), "score", limit)
 

@@ -186,3 +186,31 @@ def test_components_rounds_take_numbers(spark, monkeypatch):
 def test_label_keys_are_made_once(spark):
     labels = spark.createDataFrame([("Acme", "source"), ("Acme Inc", "source")], "label string, entity_type string")
     assert len(resolve.label_keys(labels).inputFiles())
+
+
+def test_hidden_pairs_leave_links_where_they_stand(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [1.0, 0.2])], "id string, embedding array<double>")
+    links = spark.createDataFrame([("b", "a")] * 3, "src string, dst string")
+    found = retrieval.hidden_pairs(v, links, least=0.5)
+    assert [(r.a, r.b) for r in found.orderBy("a", "b").collect()] == [("a", "c"), ("b", "c")]
+    assert "LeftSemi, BuildRight" in plan_of(found)
+
+
+def test_entities_are_embedded_once(spark):
+    from loomgraph.operators.search import Searcher
+
+    made = []
+    embed = lambda df, c: (made.append(c), retrieval.letter_embed(df, c))[1]
+    entities = spark.createDataFrame([("1", "apple", "", 1.0, "x"), ("2", "apples", "", 0.5, "x")], "id string, label string, description string, confidence double, entity_type string")
+    edges = spark.createDataFrame([("1", "3")], "src string, dst string")
+    engine = Searcher(entities, edges, None, None, None, embed)
+    asked = spark.createDataFrame([(1, "apple")], "query_id int, text string")
+    assert [r.id for r in engine.search(asked, "hidden").collect()] == ["2"]
+    assert [r.id for r in engine.search(asked, "hybrid").orderBy("rank").collect()] == ["1", "2"]
+    assert made.count("_said") == 1
+
+
+def test_unit_sums_the_norm_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(retrieval.unit("v").alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert "lambdafunction(CASE WHEN (SQRT" not in plan_of(df)
