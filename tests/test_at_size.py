@@ -214,3 +214,27 @@ def test_unit_sums_the_norm_once(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(retrieval.unit("v").alias("u"))
     assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
     assert "lambdafunction(CASE WHEN (SQRT" not in plan_of(df)
+
+
+def test_louvain_is_the_same_from_files(monkeypatch):
+    """Edges that stand in files, sorted and contracted in many parts, give the communities that they give in memory."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 200, 900), rng.integers(0, 200, 900)
+    a, b = a[a != b], b[a != b]
+    weight = rng.integers(1, 10, len(a)) / 10
+    found = kernels.louvain(200, a, b, weight, weight.sum())
+    for name, value in {"HELD": 64, "LISTED": 16, "SORTED": 40, "DENSE": 5, "SLICE": 50}.items():
+        monkeypatch.setattr(kernels, name, value)
+    held = []
+    real = kernels.Stored.read
+    monkeypatch.setattr(kernels.Stored, "read", lambda s, a, b: (held.append(b - a), real(s, a, b))[1])
+    assert kernels.louvain(200, a, b, weight, weight.sum()).tolist() == found.tolist()
+    assert max(held) < len(a)
+
+
+def test_louvain_takes_edges_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PACKED", 2)
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "xyz" for i in range(5) for j in range(i)] + [("x0", "y0")]
+    edges = spark.createDataFrame([(a, b, "T", 1.0, 0) for a, b in pairs], "src string, dst string, edge_type string, weight double, created_at long")
+    found = graph.louvain_communities(spark.createDataFrame([(f"{c}{i}",) for c in "xyzw" for i in range(5)], "id string"), edges).collect()
+    assert {r.id: r.community for r in found} == {f"{c}{i}": f"{c}0" if c != "w" else f"w{i}" for c in "xyzw" for i in range(5)}
