@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -238,3 +240,21 @@ def test_louvain_takes_edges_in_packs(spark, monkeypatch):
     edges = spark.createDataFrame([(a, b, "T", 1.0, 0) for a, b in pairs], "src string, dst string, edge_type string, weight double, created_at long")
     found = graph.louvain_communities(spark.createDataFrame([(f"{c}{i}",) for c in "xyzw" for i in range(5)], "id string"), edges).collect()
     assert {r.id: r.community for r in found} == {f"{c}{i}": f"{c}0" if c != "w" else f"w{i}" for c in "xyzw" for i in range(5)}
+
+
+def test_shuffles_of_the_graph_begin_with_partitions_in_proportion(spark, monkeypatch):
+    """With as few partitions as the session has, what a task holds in making the graph grows with the tables."""
+    from loomgraph.plans import testbed
+    from tests.conftest import SF
+
+    key, plans, real = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", [], testbed.materialize
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(session, "SPREAD_BYTES", 1000, raising=False)
+    monkeypatch.setattr(testbed, "_WRITTEN", {})
+    monkeypatch.setattr(testbed, "materialize", lambda df, label: (plans.append(plan_of(df)), real(df, label))[1])
+    try:
+        assert Bed(spark, SF).edge.count()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    found = [int(n) for plan in plans for n in re.findall(r"hashpartitioning\(l_partkey#\d+L?, l_suppkey#\d+L?, (\d+)\)", plan)]
+    assert found and min(found) > int(spark.conf.get("spark.sql.shuffle.partitions")) and min(found) > 40
