@@ -30,9 +30,9 @@ from loomgraph.session import materialize, ship_package
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 #: Distinct words whose ids a Python worker keeps, and the longest such word.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 40
+KEPT_WORDS, KEPT_LENGTH = 600_000, 40
 #: Characters of the texts that are taken apart at once, and words whose ids are gathered at once (one text may have more).
-SLICE, TOGETHER = 1 << 19, 1 << 17
+SLICE, TOGETHER = 1 << 21, 1 << 17
 #: Blanks that the pre-tokenizer may join with what stands before them; of white space, all that Unicode has.
 WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 JOINED = rf"  |[{WHITE}] (?:[{WHITE}]|\z)"

@@ -470,3 +470,16 @@ def test_native_plan_has_no_python(docs):
     plan = syncmers.edit_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
     assert F is not None
+
+
+def test_words_are_looked_up_once_a_batch(monkeypatch):
+    """What a slice of texts costs besides their characters is paid once for two million of them, and words met before 600 000 others are not encoded again."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer, slices = packing.WordCachedTokenizer(path), []
+    texts = ["ab cd " * 50_000 + f"end{i}" for i in range(5)]
+    monkeypatch.setattr(tokenizer, "_encode", lambda some: (slices.append(len(some)), packing.WordCachedTokenizer._encode(tokenizer, some))[1])
+    found = tokenizer.encode(texts)
+    assert slices == [5]
+    monkeypatch.setattr(packing, "SLICE", 1 << 18)
+    assert packing.WordCachedTokenizer(path).encode(texts) == found
+    assert packing.KEPT_WORDS >= 600_000
