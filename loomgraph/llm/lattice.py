@@ -19,7 +19,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,13 +71,15 @@ class Pieces:
                 self.weight.append(-math.log(2 + rank))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has its blank mark after another character")
-        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.widths = np.array([len(b) for b in self.bytes_of])
-        self.starts = np.cumsum(self.widths) - self.widths
+        self.spellings = pa.array(self.bytes_of, pa.large_binary())
         self._trie()
 
     def _trie(self) -> None:
-        """All pieces as a trie in sorted arrays: key (node, character), node after it, its piece or -1."""
+        """All pieces as a trie: a node's children stand in one table, each at the node's base plus its character.
+
+        A place holds the key (node, character) and the node after it; a base is moved until
+        its children's places are free. trie_piece is a node's piece or -1.
+        """
         nodes, ends, number = {}, {}, 1
         for piece, i in self.ids.items():
             at = 0
@@ -87,9 +89,22 @@ class Pieces:
                     number += 1
                 at = nodes[at, c]
             ends[at] = i
-        keys = sorted((at << 21 | ord(c), node) for (at, c), node in nodes.items())
-        self.trie_key = np.array([k for k, _ in keys] + [1 << 62])
-        self.trie_node = np.array([n for _, n in keys] + [0])
+        children: dict[int, list[tuple[int, int]]] = {}
+        for (at, c), node in nodes.items():
+            children.setdefault(at, []).append((ord(c), node))
+        sizes = ((1 << bits) - 1 for bits in (min(21, (4 * number).bit_length()), 21))  # of 21 bits no two characters fall on one place
+        self.trie_last = next(last for last in sizes if all(len({c & last for c, _ in x}) == len(x) for x in children.values()))
+        key, after, base = np.full(self.trie_last + 1, -1), np.zeros(self.trie_last + 1, np.int64), np.zeros(number, np.int64)
+        taken: set[int] = set()
+        for at, some in sorted(children.items(), key=lambda x: -len(x[1])):
+            start = at * 0x9E3779B1
+            while not taken.isdisjoint(places := [start + c & self.trie_last for c, _ in some]):
+                start += 0x9E37
+            taken.update(places)
+            base[at] = start & self.trie_last
+            for place, (c, node) in zip(places, some):
+                key[place], after[place] = at << 21 | c, node
+        self.trie_key, self.trie_node, self.trie_base = key, after, base
         self.trie_piece = np.array([ends.get(n, -1) for n in range(number)])
 
     def matches(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +112,9 @@ class Pieces:
         places, lengths, found = [], [], []
         at, node, depth = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
         while len(at):
-            key = node << 21 | chars[at + depth]
-            hit = np.searchsorted(self.trie_key, key)
-            ok = self.trie_key[hit] == key
+            c = chars[at + depth]
+            hit = self.trie_base[node] + c & self.trie_last
+            ok = self.trie_key[hit] == (node << 21 | c)
             at, node = at[ok], self.trie_node[hit[ok]]
             depth += 1
             piece = self.trie_piece[node]
@@ -115,19 +130,31 @@ class Pieces:
         """Words with the blank marks before them; a text gets one blank in front."""
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words of texts in order, the place of each word among them, end to end, and how many words each text has."""
+        odd = lambda t: "  " in t or t[0] == " " or t[-1] == " " or MARK in t  # noqa: E731  # words are not what stands between blanks
+        lines = [None if not t else " ".join([w[1:] for w in self.split(t)]) if odd(t) else t for t in texts]
+        parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        return [MARK + w for w in coded.dictionary.to_numpy(zero_copy_only=False)], coded.indices.to_numpy(), np.diff(parts.offsets.to_numpy())
+
     def spelled(self, ids: np.ndarray) -> bytes:
         """The bytes of pieces, end to end, with blank marks."""
-        width = self.widths[ids]
-        end = np.cumsum(width)
         if not len(ids):
             return b""
-        return self.flat[np.repeat(self.starts[ids] - end + width, width) + np.arange(end[-1])].tobytes()
+        taken = self.spellings.take(pa.array(ids))
+        _, ends, flat = taken.buffers()
+        return flat.slice(0, int(np.frombuffer(ends, np.int64)[len(ids)])).to_pybytes()
+
+    def marked(self, text: str) -> bytes | None:
+        """The bytes that pieces of the text spell; None if it has a blank mark itself."""
+        return None if MARK in text else (MARK + text.replace(" ", MARK)).encode(errors="replace") if text else b""
 
-    def decodes_to(self, ids: np.ndarray, text: str) -> bool:
-        """Whether decode(ids) gives the text."""
-        if MARK in text:
-            return self.decode(ids.tolist()) == text
-        return self.spelled(ids) == ((MARK + text.replace(" ", MARK)).encode(errors="replace") if text else b"")
+    def decodes_to(self, ids: np.ndarray, text: str, marked: bytes | None = None) -> bool:
+        """Whether decode(ids) gives the text; marked: what `marked` gives, if it is known."""
+        if marked is None:
+            marked = self.marked(text)
+        return self.decode(ids.tolist()) == text if marked is None else self.spelled(ids) == marked
 
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded (of which a blank mark itself comes back as a blank)."""
@@ -321,7 +348,7 @@ class Leaf:
         self.log_p = head + tail
         mass = head + log_rest_one(tail) if len(edges) > free else -math.inf
         self.group = truncated(mass, uniform_one(seed, 4 << 20, turn), bound)
-        self.gone: list[int] = []
+        self.before = self.mass = None  # log probability before each choice from `free` on, and of the set beside it while it is in the group
         self.rests: dict[int, tuple[float, float, list[int]]] = {}  # choice: (bound, log probability before it, edges taken)
 
     def top(self) -> float:
@@ -333,11 +360,11 @@ class Leaf:
         bound = self.top()
         u = [uniform_one(seed, 2 << 20, turn * 4 + i) for i in range(4)]
         if bound == self.group:
-            log_p = self.each
-            before = np.cumsum(log_p) - log_p
-            mass = before[self.free :] + log_rest(log_p[self.free :])
-            if self.gone:
-                mass[np.array(self.gone) - self.free] = -np.inf
+            if self.mass is None:
+                log_p = self.each
+                self.before = (np.cumsum(log_p) - log_p)[self.free :]
+                self.mass = self.before + log_rest(log_p[self.free :])
+            mass = self.mass
             most = float(mass.max())
             share = np.exp(mass - most)
             upto = np.cumsum(share)
@@ -345,10 +372,10 @@ class Leaf:
             if t >= len(share) or not share[t]:
                 t = int(np.flatnonzero(share)[-1])
             left = float(upto[-1] - share[t]) if upto[-1] > 2 * share[t] else float(share[:t].sum() + share[t + 1 :].sum())
+            prefix, mass[t] = float(self.before[t]), -np.inf
             t += self.free
-            self.gone.append(t)
             self.group = truncated(math.log(left) + most if left > 0 else -math.inf, u[1], bound)
-            prefix, taken = float(before[t]), [int(self.edges[t])]
+            taken = [int(self.edges[t])]
         else:
             t = next(i for i, r in self.rests.items() if r[0] == bound)
             _, prefix, taken = self.rests[t]
@@ -372,12 +399,11 @@ class Leaf:
 
 def sample(lattices: Lattices, texts: list[str], keys: list[str], k: int, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct segmentations (ids, log probability, perturbed, log inclusion probability)."""
-    words = [lattices.pieces.split(t) for t in texts]
+    words, at, lengths = lattices.pieces.words(texts)
     own = [xxhash.xxh64_intdigest(key, seed) for key in keys]
-    seeds, n = np.array(own, np.uint64), len(words)
-    lengths = np.array([len(w) for w in words], np.int64)
+    seeds, n = np.array(own, np.uint64), len(texts)
     begin = np.cumsum(lengths) - lengths  # of each text's words in `first`
-    first = lattices.starts(list(chain.from_iterable(words)))
+    first = lattices.starts(words)[at]
     docs = np.repeat(np.arange(n), lengths)
     number = np.arange(len(first)) - np.repeat(begin, lengths)
     root = -np.log(-np.log(uniform(seeds, 1 << 20)))
@@ -489,9 +515,10 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = SAMPLES, see
                 keys = [f"{i.as_py()}" for i in part.column(0)]
                 rows, columns = [], [[] for _ in kinds]
                 for at, (text, found) in enumerate(zip(texts, sample(lattices, texts, keys, k, seed))):
+                    marked = lattices.pieces.marked(text)
                     for number, (ids, log_p, perturbed, inclusion) in enumerate(found):
                         raw = ids.astype("<u4").tobytes()
-                        values = (number, len(ids), log_p, perturbed, inclusion, zlib.crc32(raw), lattices.pieces.decodes_to(ids, text), raw)
+                        values = (number, len(ids), log_p, perturbed, inclusion, zlib.crc32(raw), lattices.pieces.decodes_to(ids, text, marked), raw)
                         rows.append(at)
                         for column, value in zip(columns, values):
                             column.append(value)

@@ -89,6 +89,25 @@ def test_samples_do_not_depend_on_what_is_kept(lattices):
     assert [[x[0].tolist() for x in one] for one in a] == [[x[0].tolist() for x in one] for one in b[::-1]]
 
 
+def test_words_are_looked_up_once_a_batch(lattices, monkeypatch):
+    texts = ["to be or not to be", " to  be ", "", " ", "or", "to be ", "▁ or", "▁", "a\tb\u00a0c  d", "é ☃ \n x"] * 3
+    distinct, at, lengths = lattices.pieces.words(texts)
+    cut = np.cumsum(lengths).tolist()
+    assert [[distinct[i] for i in at[a:b]] for a, b in zip([0, *cut], cut)] == [lattices.pieces.split(t) for t in texts]
+    asked, real = [], lattice.Lattices.starts
+    monkeypatch.setattr(lattice.Lattices, "starts", lambda self, words: (asked.extend(words), real(self, words))[1])
+    lattice.sample(lattices, texts, [str(i) for i in range(len(texts))], 3)
+    assert len(asked) == len(set(asked)) == len(distinct)
+
+
+def test_matches_are_all_pieces_that_begin_at_a_place(lattices):
+    pieces = lattices.pieces
+    for text in ("▁unbelievable", "▁日本語", "▁Straße\U0010ffff☃é", "x" * 40):
+        chars = np.array([ord(c) for c in text])
+        got = set(zip(*(x.tolist() for x in pieces.matches(chars, np.arange(len(text), 0, -1)))))
+        assert got == {(i, j - i, pieces.ids[text[i:j]]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in pieces.ids}
+
+
 def test_few_segmentations(lattices):
     (one,) = lattice.sample(lattices, [""], ["k"], 3)
     assert len(one) == 1 and len(one[0][0]) == 0 and one[0][3] == 0.0
