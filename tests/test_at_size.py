@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import session
@@ -258,3 +259,22 @@ def test_shuffles_of_the_graph_begin_with_partitions_in_proportion(spark, monkey
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     found = [int(n) for plan in plans for n in re.findall(r"hashpartitioning\(l_partkey#\d+L?, l_suppkey#\d+L?, (\d+)\)", plan)]
     assert found and min(found) > int(spark.conf.get("spark.sql.shuffle.partitions")) and min(found) > 40
+
+
+def test_skeleton_holds_no_edges_on_the_driver(spark, monkeypatch):
+    """Edges go to a file that executors fetch, and tasks hand on a row for each edge, however many sources there are."""
+    rng = np.random.default_rng(11)
+    a, b = np.triu_indices(90, 1)
+    kept = rng.random(len(a)) < 0.08
+    a, b = a[kept], b[kept]
+    whole = kernels.Adjacency(90, a, b)
+    score = kernels.dependencies(whole, np.arange(90), on_edges=True)
+    want = sorted(zip(-np.round(score, 6), a.tolist(), b.tolist()))[:40]
+    edges = spark.createDataFrame([(f"{x:02}", f"{y:02}", "T", 1.0, 0) for x, y in zip(a.tolist(), b.tolist())], "src string, dst string, edge_type string, weight double, created_at long")
+    rows, real = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: (rows.append(df.count()), real(df))[1])
+    monkeypatch.setattr(kernels, "SLICE", 50)
+    monkeypatch.setattr(graph, "PACKED", 16)
+    got = sorted((r.a, r.b) for r in graph.skeleton(edges, 40).collect())
+    assert got == sorted((f"{x:02}", f"{y:02}") for _, x, y in want)
+    assert sum(rows) == 0
